@@ -118,13 +118,16 @@ def distinct_bitmaps(df: DataFrame, dimensions: list[str], identifiers: dict[str
     """
     spark = df.sparkSession
     columns = list(dict.fromkeys(c for own in identifiers.values() for c in own))
+    if taken := {"kind", "cell", "shard", "bucket", "bitmap", "by", "n_distinct"} & set(dimensions):
+        raise ValueError(f"dimensions may not be named {sorted(taken)}")
+    df = df.select(*dict.fromkeys([*dimensions, *columns]))
     cells = df.select(*dimensions).distinct()
     known = cells.limit(MOST_CELLS + 1).collect()
     small = len(known) <= MOST_CELLS
     if small:
         numbered = [(*row, n) for n, row in enumerate(sorted(known, key=lambda r: [(v is None, str(v)) for v in r]))]
         cells = F.broadcast(spark.createDataFrame(numbered, cells.schema.add("cell", IntegerType())))
-        joined = df.join(cells, _all([df[d].eqNullSafe(cells[d]) for d in dimensions])).select("cell", *[df[c] for c in columns])
+        joined = df.join(cells, _all([df[d].eqNullSafe(cells[d]) for d in dimensions])).select(cells["cell"], *[df[c] for c in columns])
     else:
         name = F.xxhash64(*dimensions, *[F.col(d).isNull() for d in dimensions]).alias("cell")
         cells, joined = cells.select(*dimensions, name), df.select(name, *columns)

@@ -230,7 +230,9 @@ def subject_posteriors(
     kind = dict(documents.dtypes)[key]
     n = len(subjects)
     mails = encoded_mails(documents, key, text)
-    labelled = written(mails.join(clean_labels(labels, subjects, key=key, subject=subject, most=most_labelled), "key"))
+    known = clean_labels(labels, subjects, key=key, subject=subject, most=most_labelled)
+    # no more rows than MOST_LABELLED, of an id and a few numbers each: about 10 MB
+    labelled = written(mails.join(F.broadcast(known) if most_labelled <= MOST_LABELLED else known, "key"))
     first_counts, first_total = _summed(_expected(labelled, n), n)
     if not first_counts.any():
         return spark.createDataFrame([], f"`{key}` {kind}, subject string, share double, posterior double")

@@ -16,6 +16,8 @@ from tallyloom.session import spread, written
 
 #: Words are hashed into so many buckets; this bounds the model, whatever the vocabulary.
 BUCKETS = 1 << 17
+#: Subjects at most; with the buckets they bound the model to about 160 MB (16 MB for ten subjects).
+MOST_SUBJECTS = 100
 #: Labelled mails used for training and calibration at most; beyond, those with the smallest hash of their id.
 MOST_LABELLED = 200_000
 #: Frequent words by which the language of a mail is told, each language having its own background.
@@ -226,6 +228,8 @@ def subject_posteriors(
     Null, empty and wordless texts and mails about nothing give no rows; repeated mails give repeated rows; without
     any label there are no rows.
     """
+    if not 0 < len(subjects) <= MOST_SUBJECTS:
+        raise ValueError(f"{len(subjects)} subjects; 1 to {MOST_SUBJECTS} are possible")
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[key]
     n = len(subjects)

@@ -53,13 +53,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1))
     header = lines.withColumn("name", name)
     heads = header.where("name is not null").select(F.col("file").alias("f"), F.col("line").alias("first"), "name")
-    following = heads.withColumn("next", F.lead("first").over(Window.partitionBy("f").orderBy("first")))
-    body = header.where("name is null and trim(value) <> ''")
-    inside = body.join(
-        following, (body["file"] == following["f"]) & (body["line"] > following["first"]) & (body["line"] < F.coalesce(following["next"], F.lit(2**62)))
-    )
+    after = F.lead("first").over(Window.partitionBy("f").orderBy("first"))
+    following = heads.select("f", "first", F.coalesce(after, F.lit(2**62)).alias("next"), F.col("name").alias("contig"))
+    body = header.where("name is null and trim(value) <> ''").select("file", "line", F.trim("value").alias("bases"))
+    sized = body.join(following, (F.col("file") == F.col("f")) & (F.col("line") > F.col("first")) & (F.col("line") < F.col("next")))
     before = Window.partitionBy("contig").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    sized = inside.select(following["name"].alias("contig"), body["line"], F.trim(body["value"]).alias("bases"))
     return sized.select(
         "contig", (F.row_number().over(Window.partitionBy("contig").orderBy("line")) - 1).alias("chunk_no"),
         (F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0)) + 1).alias("chunk_start"), "bases",

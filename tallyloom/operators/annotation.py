@@ -28,9 +28,14 @@ def last_bases(transcripts: DataFrame, k: int, *, with_utr: bool = True) -> Data
 
     Returns the columns of ``exon_rows`` with trimmed ``exon_start``, ``exon_end`` and ``width``.
     """
-    excess = F.col("tx_width") - (F.lit(k) + (F.col("utr_len") if with_utr else F.lit(0)))
+    return trimmed(exon_rows(transcripts), F.lit(k), with_utr=with_utr)
+
+
+def trimmed(exons: DataFrame, k: Column, *, with_utr: bool = True) -> DataFrame:
+    """As ``last_bases``, of rows of ``exon_rows`` and a number of bases that may differ from row to row."""
+    excess = F.col("tx_width") - (k + (F.col("utr_len") if with_utr else F.lit(0)))
     cut = F.greatest(excess - F.col("width_before"), F.lit(0))
-    kept = exon_rows(transcripts).where(F.lit(k > 0)).withColumn("cut", cut).where(F.col("cut") < F.col("width"))
+    kept = exons.where(k > 0).withColumn("cut", cut).where(F.col("cut") < F.col("width"))
     return kept.select(
         *[c for c in kept.columns if c not in ("exon_start", "exon_end", "width", "cut")],
         F.when(F.col("is_negative"), F.col("exon_start")).otherwise(F.col("exon_start") + F.col("cut")).alias("exon_start"),
@@ -39,6 +44,12 @@ def last_bases(transcripts: DataFrame, k: int, *, with_utr: bool = True) -> Data
     )
 
 
+def at_cutoffs(transcripts: DataFrame, cutoffs: list[int], *, with_utr: bool = True) -> DataFrame:
+    """``last_bases`` for several numbers of bases at once, told apart by the column ``cutoff``."""
+    exons = exon_rows(transcripts).withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs])))
+    return trimmed(exons, F.col("cutoff"), with_utr=with_utr)
+
+
 def bed_rows(exons: DataFrame) -> DataFrame:
     """Exons as 0-based half-open BED rows."""
     return exons.select(
@@ -54,13 +65,13 @@ def lengths_by_type(features: DataFrame) -> DataFrame:
     return features.groupBy("transcript_id").agg(F.max("gene_id").alias("gene_id"), of("exon").alias("tx_len"), of("three_prime_utr").alias("utr_len"))
 
 
-def signature(exons: DataFrame) -> DataFrame:
-    """``transcript_id, gene_id, signature``: the exon coordinates of each transcript as one string, in ascending order.
+def signature(exons: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``transcript_id, <by>, gene_id, signature``: the exon coordinates of each transcript as one string, in ascending order.
 
     A transcript's exons are few; they are gathered per transcript.
     """
     part: Column = F.struct("exon_start", "exon_end")
-    return exons.groupBy("transcript_id").agg(
+    return exons.groupBy("transcript_id", *by).agg(
         F.min("gene_id").alias("gene_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda e: F.concat_ws("-", e["exon_start"].cast("string"), e["exon_end"].cast("string"))), ",").alias("signature"),
     )
@@ -71,10 +82,7 @@ def unique_ratios(transcripts: DataFrame, cutoffs: list[int], *, bins: int = 10)
 
     Returns ``gene_id, cutoff, n_transcripts, ratio, bin`` with the ratio's bin of ``bins`` equal ones from 0 to 1.
     """
-    found = None
-    for cutoff in cutoffs:
-        one = signature(last_bases(transcripts.where("gene_id is not null"), cutoff, with_utr=False)).withColumn("cutoff", F.lit(cutoff))
-        found = one if found is None else found.unionByName(one)
+    found = signature(at_cutoffs(transcripts.where("gene_id is not null"), cutoffs, with_utr=False), by=("cutoff",))
     alike = found.groupBy("gene_id", "cutoff", "signature").agg(F.count(F.lit(1)).alias("n"))
     per_gene = alike.groupBy("gene_id", "cutoff").agg(F.sum("n").alias("n_transcripts"), F.sum((F.col("n") == 1).cast("int")).alias("n_unique"))
     ratio = F.col("n_unique") / F.col("n_transcripts")

@@ -100,15 +100,14 @@ def best_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_by_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each cutoff, how many intervals touch the merged last bases of all transcripts."""
-    entries = _entries(spark, sf_dir).withColumn("entry_chrom", F.col("chrom")).drop("chrom")
-    found = None
-    for k in CUTOFFS:
-        tails = annotation.bed_rows(annotation.last_bases(_transcripts(spark, sf_dir), k))
-        merged = periods_and_gaps(tails.withColumn("chrom", F.lower("chrom")), "chrom", "chromstart", "chromend").where("kind = 'period'")
-        hits = overlap_join(entries, merged, left_on=("entry_chrom", "chromstart", "chromend"), right_on=("entity", "from_pos", "to_pos"))
-        counted = hits.groupBy("entity").agg(F.count(F.lit(1)).alias("n_hits")).select(F.lit(k).alias("cutoff"), F.col("entity").alias("chrom"), "n_hits")
-        found = counted if found is None else found.unionByName(counted)
-    return found
+    tails = annotation.at_cutoffs(_transcripts(spark, sf_dir), CUTOFFS).select(
+        F.concat_ws("/", F.col("cutoff").cast("string"), F.lower("chrom")).alias("place"), (F.col("exon_start") - 1).alias("s"), F.col("exon_end").alias("e")
+    )
+    merged = periods_and_gaps(tails, "place", "s", "e").where("kind = 'period'").select(
+        F.substring_index("entity", "/", 1).cast("int").alias("cutoff"), F.expr("substring(entity, instr(entity, '/') + 1)").alias("on_chrom"), "from_pos", "to_pos"
+    )
+    hits = overlap_join(_entries(spark, sf_dir), merged, left_on=("chrom", "chromstart", "chromend"), right_on=("on_chrom", "from_pos", "to_pos"))
+    return hits.groupBy("cutoff", "chrom").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 def region_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def heavy_keys(df: DataFrame, key: str, *, share: float = HEAVY_SHARE) -> DataFr
 
 def salted_aggregate(
     df: DataFrame, key: str, *, member: str, lowest_highest: str | None = None,
-    share: float = HEAVY_SHARE, salts: int = SALTS,
+    share: float = HEAVY_SHARE, salts: int = SALTS, heavy_from: DataFrame | None = None,
 ) -> DataFrame:
     """Per key: rows, distinct members and, on request, the lowest and highest value of a column.
 
@@ -29,13 +29,15 @@ def salted_aggregate(
 
     The rows of heavy keys get a random salt drawn from their member's hash: random with regard to the key, the
     same whenever a task is repeated, and equal for equal members, so that distinct members of different salts
-    can be added up. Stage one aggregates by (key, salt), stage two merges those partial results by key.
+    can be added up. Stage one aggregates by (key, salt), stage two merges those partial results by key. Which keys are
+    heavy decides about balance only; ``heavy_from`` names a cheaper table with the same column to tell it from.
     """
     named = df.select(
         F.col(key).alias("key"), F.col(member).alias("member"),
         (F.col(lowest_highest) if lowest_highest else F.lit(None).cast("int")).alias("value"),
     ).where("key is not null")
-    heavy = heavy_keys(named, "key", share=share).withColumn("heavy", F.lit(True))
+    of = named if heavy_from is None else heavy_from.select(F.col(key).alias("key")).where("key is not null")
+    heavy = heavy_keys(of, "key", share=share).withColumn("heavy", F.lit(True))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("member"), F.lit(salts))).otherwise(F.lit(0))
     salted = named.join(F.broadcast(heavy), "key", "left").withColumn("salt", salt)
     by_member = salted.groupBy("key", "salt", "member").agg(

@@ -104,3 +104,20 @@ def resolved_loci(ids: DataFrame, transcripts: DataFrame, *, key: str) -> DataFr
     joined = ids.select(key).distinct().join(tx, key, "left").join(genes, key, "left")
     pick = lambda t, g: F.when(F.col("tc").isNotNull(), F.col(t)).otherwise(F.col(g))
     return joined.select(key, pick("tc", "gc").alias("chrom"), pick("ts", "gs").alias("start"), pick("te", "ge").alias("end"))
+
+
+def linked_pairs(pairs: DataFrame, links: DataFrame, *, left: str, right: str) -> DataFrame:
+    """Adds ``linked`` to pairs of genes: whether one is listed with the other (columns ``a, b`` of ``symmetric_edges``)."""
+    known = links.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.lit(True).alias("__linked"))
+    joined = pairs.join(known, (F.col(left) == F.col("__a")) & (F.col(right) == F.col("__b")), "left")
+    return joined.select(*pairs.columns, F.coalesce("__linked", F.lit(False)).alias("linked"))
+
+
+def pairs_sharing(pairs: DataFrame, members: DataFrame, *, left: str, right: str, locus: str, member: str) -> DataFrame:
+    """Adds ``shares`` to pairs of loci: whether any member (a repeat class, say) is found at both."""
+    of = members.select(F.col(locus).alias("__locus"), F.col(member).alias("__member")).where("__member is not null").distinct()
+    a = pairs.select(left, right).distinct().join(of, F.col(left) == F.col("__locus")).select(left, right, "__member")
+    common = a.join(of, (F.col(right) == F.col("__locus")) & (a["__member"] == of["__member"]), "left_semi")
+    found = common.select(F.col(left).alias("__left"), F.col(right).alias("__right")).distinct().withColumn("__shares", F.lit(True))
+    joined = pairs.join(found, (F.col(left) == F.col("__left")) & (F.col(right) == F.col("__right")), "left")
+    return joined.select(*pairs.columns, F.coalesce("__shares", F.lit(False)).alias("shares"))

@@ -68,6 +68,44 @@ def periods_and_gaps(
     )
 
 
+def depth_segments(df: DataFrame, entity: str, start: str, end: str, *, slice_width: int = SLICE_WIDTH) -> DataFrame:
+    """``entity, from_pos, to_pos, depth``: stretches of equal depth, where intervals of an entity cover each other.
+
+    Repeated rows add to the depth; rows with nulls or ``end <= start`` are no intervals; stretches of depth 0 are left
+    out. Steps are aggregated per position first and summed up within slices, the depth at each slice's start and the
+    position after its last one being carried over one row per slice.
+    """
+    given = df.select(
+        F.col(entity).alias("entity"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end")
+    ).where("entity is not null and start is not null and end is not null and end > start")
+    both = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")))
+    steps = given.select("entity", F.explode(both).alias("e")).groupBy("entity", "e.pos").agg(F.sum("e.step").alias("step"))
+    sliced = steps.withColumn("slice", F.floor(F.col("pos") / slice_width))
+    along = Window.partitionBy("entity").orderBy("slice")
+    carried = (
+        sliced.groupBy("entity", "slice").agg(F.sum("step").alias("total"), F.min("pos").alias("first"))
+        .select(
+            "entity", "slice", F.coalesce(F.sum("total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("depth_before"),
+            F.lead("first").over(along).alias("next_first"),
+        )
+    )
+    within = Window.partitionBy("entity", "slice").orderBy("pos")
+    depth = F.col("depth_before") + F.sum("step").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    segments = sliced.join(carried, ["entity", "slice"]).select(
+        "entity", F.col("pos").alias("from_pos"), F.coalesce(F.lead("pos").over(within), F.col("next_first")).alias("to_pos"), depth.alias("depth")
+    )
+    return segments.where("depth > 0")
+
+
+def merged_loci(reads: DataFrame, entity: str, start: str, end: str, *, padding: int = 0) -> DataFrame:
+    """``entity, from_pos, to_pos, n_reads``: loci of reads that lie within ``padding`` of each other, and how many each has."""
+    widened = reads.where(f"`{entity}` is not null and `{end}` > `{start}`").select(F.col(entity).alias("read_on"), F.col(start).alias("read_from"), F.col(end).alias("read_to"))
+    spans = widened.select("read_on", "read_from", (F.col("read_to") + padding).alias("padded_to"))
+    loci = periods_and_gaps(spans, "read_on", "read_from", "padded_to").where("kind = 'period'").select("entity", "from_pos", (F.col("to_pos") - padding).alias("to_pos"))
+    inside = overlap_join(widened, loci, left_on=("read_on", "read_from", "read_to"), right_on=("entity", "from_pos", "to_pos"))
+    return inside.groupBy("entity", "from_pos", "to_pos").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, *, left_on: tuple[str, str, str], right_on: tuple[str, str, str],
     bin_width: int = 16_384, how: str = "inner",

@@ -60,3 +60,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k:
         return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, distance double")
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
     return found.where("query <> neighbour").withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def principal_components(vectors: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
+    """``<key>, components``: the first ``k`` principal components of centred vectors, each in the direction in which its first coefficient is positive.
+
+    The covariance (as many rows and columns as a vector has values) is gathered by Spark; vectors are not. Null vectors are
+    left out.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    given = vectors.where(f"`{vector}` is not null").select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    model = PCA(k=k, inputCol="__v", outputCol="__pc").fit(given)
+    matrix = model.pc.toArray()
+    sign = np.where(matrix[0] < 0, -1.0, 1.0)
+    mean = np.array(given.select(F.posexplode(vector_to_array("__v"))).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").toPandas()["m"])
+    shift = mean @ matrix
+    turned = F.transform(F.arrays_zip(vector_to_array("__pc").alias("v"), F.array(*map(F.lit, sign.tolist())).alias("s"), F.array(*map(F.lit, shift.tolist())).alias("m")), lambda x: (x["v"] - x["m"]) * x["s"])
+    return model.transform(given).select(key, turned.alias("components"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators import annotation
 from tallyloom.operators.counts import top_by_group
 from tallyloom.operators.graph import resolved_loci
-from tallyloom.operators.intervals import best_overlap, overlap_join, periods_and_gaps
+from tallyloom.operators.intervals import best_overlap, depth_segments, merged_loci, overlap_join, periods_and_gaps
+from tallyloom.operators.simulate import simulated_counts as simulate
 from tallyloom.session import read_table
 
 CUTOFFS = [100, 500, 1000, 2000]
@@ -128,10 +129,53 @@ def id_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved_loci(ids, _transcripts(spark, sf_dir), key="id")
 
 
+def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many positions of each chrom are covered how often."""
+    segments = depth_segments(_entries(spark, sf_dir), "chrom", "chromstart", "chromend")
+    return segments.groupBy(F.col("entity").alias("chrom"), "depth").agg(F.sum(F.col("to_pos") - F.col("from_pos")).alias("positions"))
+
+
+def padded_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merged_loci(_entries(spark, sf_dir), "chrom", "chromstart", "chromend", padding=500).withColumnRenamed("entity", "chrom")
+
+
+def strand_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs by whether interval and transcript are on the same strand."""
+    pairs = overlap_pairs(spark, sf_dir).where("strand is not null").join(_transcripts(spark, sf_dir).select("transcript_id", "is_negative"), "transcript_id")
+    same = F.col("strand") == F.when(F.col("is_negative"), "-").otherwise("+")
+    counted = pairs.groupBy("chrom").agg(F.count_if(same).alias("same"), F.count_if(~same).alias("opposite"))
+    return counted.withColumn("share", F.round(F.col("same") / (F.col("same") + F.col("opposite")), 6))
+
+
+def body_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs by the hundredth of the transcript, in its direction, in which the middle of the interval lies."""
+    spans = _transcripts(spark, sf_dir).select("transcript_id", "tx_start", "tx_end", "is_negative")
+    pairs = overlap_pairs(spark, sf_dir).join(spans, "transcript_id")
+    middle = F.floor((F.greatest("chromstart", F.col("tx_start") - 1) + F.least("chromend", "tx_end")) / 2) - (F.col("tx_start") - 1)
+    length = F.col("tx_end") - F.col("tx_start") + 1
+    along = F.when(F.col("is_negative"), length - 1 - middle).otherwise(middle)
+    return pairs.groupBy(F.floor(along * 100 / length).alias("hundredth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def junction_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct exon junctions of the transcripts within each growing tenth of the ids (by hash)."""
+    along = Window.partitionBy("transcript_id").orderBy("exon_start", "exon_end")
+    rows = annotation.exon_rows(_transcripts(spark, sf_dir)).select("transcript_id", "chrom", F.lag("exon_end").over(along).alias("donor"), F.col("exon_start").alias("acceptor")).where("donor is not null")
+    tenth = F.conv(F.substring(F.md5("transcript_id"), 1, 4), 16, 10).cast("int") % 10 + 1
+    first = rows.groupBy("chrom", "donor", "acceptor").agg(F.min(tenth).alias("tenth"))
+    per_tenth = first.groupBy("tenth").agg(F.count(F.lit(1)).alias("n_new"))
+    return per_tenth.withColumn("n_so_far", F.sum("n_new").over(Window.orderBy("tenth").rowsBetween(Window.unboundedPreceding, 0)))  # ten rows
+
+
+def simulated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate(_transcripts(spark, sf_dir), "transcript_id", low=10, high=1000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         running_width, exon_gaps, gene_widths, last_k_trim, bed_rows, unique_ratios, signatures, longest_transcripts, stranded_periods, overlap_pairs,
         overlap_counts, uncovered_entries, best_transcripts, coverage_by_cutoff, region_distribution, id_loci,
+        depth_histogram, padded_loci, strand_shares, body_coverage, junction_saturation, simulated_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -173,7 +217,7 @@ def _merged(source: str, place: str) -> str:
         SELECT place, min(s) AS from_pos, max(e) AS to_pos FROM (
             SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY place ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
             FROM (SELECT *, max(e) OVER (PARTITION BY place ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-                FROM (SELECT {place} AS place, CAST(chromstart AS BIGINT) AS s, CAST(chromend AS BIGINT) AS e FROM ({source})))
+                FROM (SELECT DISTINCT {place} AS place, CAST(chromstart AS BIGINT) AS s, CAST(chromend AS BIGINT) AS e FROM ({source})))
         ) GROUP BY place, island
     """
 
@@ -225,6 +269,34 @@ def oracle_sql() -> dict[str, str]:
                 WHEN EXISTS (SELECT 1 FROM ({SPANS}) WHERE tx_chrom = e.chrom AND tx_from < e.chromend AND e.chromstart < tx_to) THEN 'intron' ELSE 'intergenic' END AS region, count(*) AS n
             FROM (SELECT DISTINCT chrom, chromstart, chromend FROM ({ENTRIES})) AS e GROUP BY 1, 2
         """,
+        "depth_histogram": f"""
+            WITH steps AS (
+                SELECT chrom, pos, sum(step) AS step FROM (
+                    SELECT chrom, chromstart AS pos, 1 AS step FROM ({ENTRIES}) UNION ALL SELECT chrom, chromend, -1 FROM ({ENTRIES})) GROUP BY 1, 2
+            ), segments AS (
+                SELECT chrom, lead(pos) OVER w - pos AS n, sum(step) OVER (w ROWS UNBOUNDED PRECEDING) AS depth FROM steps WINDOW w AS (PARTITION BY chrom ORDER BY pos)
+            ) SELECT chrom, CAST(depth AS BIGINT) AS depth, CAST(sum(n) AS BIGINT) AS positions FROM segments WHERE depth > 0 GROUP BY 1, 2
+        """,
+        "padded_loci": f"""
+            WITH m AS (SELECT place, from_pos, to_pos - 500 AS to_pos FROM ({_merged(f"SELECT chrom, chromstart, chromend + 500 AS chromend FROM ({ENTRIES})", "chrom")}))
+            SELECT place AS chrom, from_pos, to_pos, count(*) AS n_reads FROM m JOIN ({ENTRIES}) AS e ON e.chrom = place AND chromstart < to_pos AND from_pos < chromend GROUP BY 1, 2, 3
+        """,
+        "strand_shares": f"""
+            SELECT *, round(same / (same + opposite), 6) AS share FROM (
+                SELECT o.chrom, count(*) FILTER (strand = s) AS same, count(*) FILTER (strand <> s) AS opposite
+                FROM ({OVERLAPS}) AS o JOIN (SELECT transcript_id, CASE WHEN is_negative THEN '-' ELSE '+' END AS s FROM transcripts) USING (transcript_id) WHERE strand IS NOT NULL GROUP BY 1)
+        """,
+        "body_coverage": f"""
+            SELECT CAST(floor((CASE WHEN is_negative THEN n - 1 - mid ELSE mid END) * 100 / n) AS BIGINT) AS hundredth, count(*) AS n FROM (
+                SELECT is_negative, tx_end - tx_start + 1 AS n, floor((greatest(chromstart, tx_start - 1) + least(chromend, tx_end)) / 2) - (tx_start - 1) AS mid
+                FROM ({OVERLAPS}) AS o JOIN transcripts USING (transcript_id)) GROUP BY 1
+        """,
+        "junction_saturation": f"""
+            WITH j AS (SELECT transcript_id, chrom, lag(exon_end) OVER (PARTITION BY transcript_id ORDER BY exon_start, exon_end) AS donor, exon_start AS acceptor FROM ({EXONS})),
+            f AS (SELECT chrom, donor, acceptor, min(CAST('0x' || substr(md5(transcript_id), 1, 4) AS INTEGER) % 10 + 1) AS tenth FROM j WHERE donor IS NOT NULL GROUP BY 1, 2, 3),
+            t AS (SELECT tenth, count(*) AS n_new FROM f GROUP BY 1)
+            SELECT tenth, n_new, CAST(sum(n_new) OVER (ORDER BY tenth) AS BIGINT) AS n_so_far FROM t
+        """,
         "id_loci": """
             WITH ids AS (SELECT DISTINCT upper(trim(id)) AS id FROM counts WHERE id IS NOT NULL),
             g AS (SELECT gene_id AS id, min(chrom) AS chrom, min(tx_start) AS s, max(tx_end) AS e FROM transcripts WHERE gene_id IS NOT NULL GROUP BY 1)

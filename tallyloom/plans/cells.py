@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.sequence import gc_share
 from tallyloom.operators import counts
 from tallyloom.operators.evaluate import status_shares
-from tallyloom.operators.nearest import nearest
+from tallyloom.operators.nearest import nearest, principal_components
 from tallyloom.session import read_table, shared_folder, written
 from tallyloom.streaming.running import read_stream, run_batches, running_counts
 
@@ -107,6 +107,11 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "neighbour", F.round("distance", 5).alias("distance"))
 
 
+def vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = principal_components(read_table(spark, sf_dir, "embeddings"), key="vec_id", vector="embedding", k=10)
+    return found.select("vec_id", F.posexplode("components").alias("component", "value")).withColumn("value", F.round("value", 4))
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of each slide and lane, counted over a stream of the table's files."""
     table = read_table(spark, sf_dir, "barcode_umi")
@@ -122,7 +127,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, read_status,
-        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, nearest_vectors, streamed_counts,
+        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, nearest_vectors, vector_components, streamed_counts,
     )
     return {f.__name__: f for f in own}
 

@@ -68,7 +68,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""
             WITH iv AS (
-                SELECT lower(regexp_replace(chrom, '^\s+|\s+$', '', 'g')) AS chrom, CAST(chromstart AS BIGINT) AS s, CAST(chromend AS BIGINT) AS e
+                SELECT DISTINCT lower(regexp_replace(chrom, '^\s+|\s+$', '', 'g')) AS chrom, CAST(chromstart AS BIGINT) AS s, CAST(chromend AS BIGINT) AS e
                 FROM bed_entries WHERE chrom IS NOT NULL AND chromstart >= 0 AND chromend > chromstart
             ), flagged AS (
                 SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv

@@ -64,8 +64,21 @@ def missing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.read_states(differences, of("counts_copy").withColumn("good", F.col("count") > 0), read="id", good="good")
 
 
+def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes that lie next to each other on a chrom, and whether they are paralogs or share a minimizer of their first position."""
+    tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
+    genes = tx.groupBy("gene_id").agg(F.min("chrom").alias("chrom"), F.min("tx_start").alias("start"))
+    place = F.concat_ws(":", "chrom", F.floor(F.col("start") / 50_000).cast("string"))
+    first = genes.groupBy(place.alias("place")).agg(F.min("gene_id").alias("left"))
+    pairs = genes.withColumn("place", place).join(first, "place").where("gene_id <> left").select("left", F.col("gene_id").alias("right"))
+    paths = read_table(spark, sf_dir, "minimizer_paths").where("pos = 0 and minimizer is not null").select(F.col("tx_id").alias("transcript_id"), F.upper("minimizer").alias("minimizer"))
+    members = paths.join(tx.select("transcript_id", "gene_id"), "transcript_id")
+    linked = graph.linked_pairs(pairs, symmetric_links(spark, sf_dir), left="left", right="right")
+    return graph.pairs_sharing(linked, members, left="left", right="right", locus="gene_id", member="minimizer")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, missing_states)
+    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, missing_states, linked_neighbours)
     return {f.__name__: f for f in own}
 
 
@@ -103,6 +116,15 @@ def oracle_sql() -> dict[str, str]:
                 SELECT e.b, min(m.step) + 1 FROM met AS m JOIN edges AS e ON e.a = m.node WHERE NOT EXISTS (SELECT 1 FROM recurring.met AS old WHERE old.node = e.b) GROUP BY e.b
             ) SELECT node, step FROM met
         """,
+        "linked_neighbours": f"""
+            WITH genes AS (SELECT gene_id, min(chrom) AS chrom, min(tx_start) AS start FROM transcripts WHERE gene_id IS NOT NULL GROUP BY 1),
+            placed AS (SELECT gene_id, chrom || ':' || CAST(floor(start / 50000) AS BIGINT) AS place FROM genes),
+            pairs AS (SELECT f.first AS "left", gene_id AS "right" FROM placed JOIN (SELECT place, min(gene_id) AS first FROM placed GROUP BY 1) AS f USING (place) WHERE gene_id <> f.first),
+            members AS (SELECT DISTINCT gene_id, upper(minimizer) AS m FROM minimizer_paths JOIN transcripts ON transcript_id = tx_id WHERE pos = 0 AND minimizer IS NOT NULL AND gene_id IS NOT NULL)
+            SELECT "left", "right", EXISTS (SELECT 1 FROM ({SYMMETRIC}) WHERE a = "left" AND b = "right") AS linked,
+                EXISTS (SELECT 1 FROM members AS x JOIN members AS y ON x.m = y.m WHERE x.gene_id = "left" AND y.gene_id = "right") AS shares
+            FROM pairs
+        """,
         "missing_states": f"""
             WITH d AS (
                 SELECT DISTINCT id FROM (

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from tallyloom.operators import counts, evaluate, graph
-from tallyloom.operators.nearest import nearest
+from tallyloom.operators.nearest import nearest, principal_components
+from tallyloom.operators.simulate import sampled, simulated_counts
 from tallyloom.streaming.running import Progress, molecules, read_stream, run_batches, running_counts
 from tests.helpers import rows
 
@@ -97,3 +98,27 @@ def test_stream_is_the_batch_result(spark, tmp_path):
     run_batches(molecules(read_stream(spark, str(tmp_path / "in"), schema), ["k"], "u", time="at", lateness="1 hour"), lambda df, n: kept.extend(df.select("k", "u").collect()), "molecules-test", mode="append")
     assert len(kept) == len(set(map(tuple, kept))) == 21
     spark.streams.removeListener(progress)
+
+
+def test_linked_and_sharing_pairs(spark):
+    pairs = spark.createDataFrame([("g1", "g2"), ("g1", "g3"), (None, "g1")], "l string, r string")
+    links = graph.symmetric_edges(spark.createDataFrame([("g2", "g1")], "g string, p string"), "g", "p")
+    assert rows(graph.linked_pairs(pairs, links, left="l", right="r")) == [("g1", "g2", True), ("g1", "g3", False), (None, "g1", False)]
+    members = spark.createDataFrame([("g1", "Alu"), ("g3", "Alu"), ("g2", "L1"), ("g2", None)], "locus string, m string")
+    got = graph.pairs_sharing(pairs, members, left="l", right="r", locus="locus", member="m")
+    assert rows(got) == [("g1", "g2", False), ("g1", "g3", True), (None, "g1", False)]
+
+
+def test_simulated_counts_do_not_depend_on_partitions(spark):
+    keys = spark.range(500).selectExpr("concat('t', id) as t").union(spark.range(1).selectExpr("cast(null as string)"))
+    one, many = (rows(simulated_counts(keys.repartition(n), "t", low=10, high=1000)) for n in (1, 7))
+    assert one == many and len(one) == 500
+    values = [n for _, n in one]
+    assert min(values) >= 10 and max(values) <= 1000 and 60 < sum(values) / 500 - 10 < 130
+    assert rows(sampled(keys, "t", 20)) == rows(sampled(keys.repartition(9), "t", 20)) and sampled(keys, "t", 20).count() == 20
+
+
+def test_components_of_a_line(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(5)] + [(9, None)], "id int, v array<double>")
+    got = {r.id: r.components[0] for r in principal_components(vectors, key="id", vector="v", k=1).collect()}
+    assert all(abs(got[i] - (i - 2) * 5**0.5) < 1e-9 for i in range(5))

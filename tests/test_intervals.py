@@ -1,6 +1,8 @@
-from tests.helpers import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
-from tallyloom.operators.intervals import best_overlap, overlap_join, periods_and_gaps
+from tallyloom.operators.intervals import best_overlap, depth_segments, merged_loci, overlap_join, periods_and_gaps
+from tests.helpers import rows
 
 SCHEMA = "chrom string, s int, e int, entity string, slice string, start int, kind string"
 
@@ -65,3 +67,32 @@ def test_best_overlap_takes_the_most_and_breaks_ties_by_id(spark):
     b = spark.createDataFrame([(7, "a", 15, 30), (5, "a", 5, 15), (3, "a", 19, 40)], "id2 int, c2 string, s2 int, e2 int")
     got = best_overlap(a, b, left_id="id", right_id="id2", left_on=("c", "s", "e"), right_on=("c2", "s2", "e2"))
     assert rows(got) == [(1, 5, 5)]
+
+
+def test_depth_against_brute_force(spark, rng):
+    data = [(rng.choice("ab"), s := rng.randrange(0, 300), s + rng.randrange(0, 40)) for _ in range(120)] + [(None, 1, 2), ("a", None, 2)]
+    for width in (5, 1000):
+        got = depth_segments(table(spark, data), "chrom", "s", "e", slice_width=width)
+        depth = {}
+        for chrom, a, b, n in rows(got, "entity", "from_pos", "to_pos", "depth"):
+            assert a < b
+            depth.update({(chrom, p): n for p in range(a, b)})
+        want = {}
+        for chrom, s, e in data:
+            if None not in (chrom, s, e):
+                for p in range(s, e):
+                    want[chrom, p] = want.get((chrom, p), 0) + 1
+        assert depth == want
+    assert depth_segments(table(spark, []), "chrom", "s", "e").count() == 0
+
+
+def test_padded_loci(spark):
+    got = merged_loci(table(spark, [("a", 0, 10), ("a", 14, 20), ("a", 26, 30), (None, 1, 2)]), "chrom", "s", "e", padding=5)
+    assert rows(got) == [("a", 0, 20, 2), ("a", 26, 30, 1)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-50, 50), st.integers(-50, 60)), max_size=25))
+def test_any_intervals(spark, data):
+    got = periods_and_gaps(table(spark, data), "chrom", "s", "e", slice_width=8)
+    assert rows(got, "entity", "kind", "from_pos", "to_pos") == brute(data)

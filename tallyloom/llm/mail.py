@@ -12,13 +12,20 @@ FOLD = re.compile(r"\r?\n[ \t]+")
 FIELD = re.compile(r"(?im)^(content-type|content-transfer-encoding|content-disposition)[ \t]*:[ \t]*([^\r\n]*)")
 PARAMETER = re.compile(r"""(?i)\b(boundary|charset|format)[ \t]*=[ \t]*(?:"([^"]*)"|([^\s;"]+))""")
 NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]+")
-#: UTF-8 that was read as Windows-1252 or Latin-1: a lead character followed by continuation characters.
-MISREAD = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]{1,3}")
+#: UTF-8 that was read as Windows-1252 or Latin-1: a lead character of Western European text, punctuation or emoji, and
+#: what its continuation bytes turn into.
+MISREAD = re.compile(
+    "[ÂÃÅâïð]"
+    "[\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201a\u201c-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{1,3}"
+)
 UNSEEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(style|script|head|title)\b.*?(?:</\1\s*>|\Z)")
 BREAK = re.compile(r"(?i)</?(?:p|div|br|tr|td|th|li|ul|ol|table|blockquote|h[1-6]|hr|body|html|pre)\b[^>]*>")
 TAG = re.compile(r"</?[A-Za-z][^>]*>")
-#: Invisible characters: soft hyphen, zero-width characters, direction marks, word joiners, byte order mark.
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
+#: Invisible characters: soft hyphen, joiners, zero-width characters, direction marks, variation selectors, byte order mark.
+INVISIBLE = re.compile(
+    "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e"
+    "\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]"
+)
 WORD = re.compile(r"[^\W_]+")
 
 

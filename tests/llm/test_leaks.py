@@ -55,7 +55,7 @@ def test_found_in_every_disguise(spark):
 
     quoted = "> > " + ITEM.replace(" six", "\n> > six").title()
     encoded = base64.b64encode(ITEM.encode()).decode()
-    soft = quopri.encodestring(("x " * 30 + ITEM.replace("three", "th­r​ee")).encode()).decode()
+    soft = quopri.encodestring(("x " * 30 + ITEM.replace("three", "th\u00adr\u200bee")).encode()).decode()
     marked = "<html><style>one</style><p>" + ITEM.replace("four", "<b>fo</b>ur&nbsp;") + "</p></html>"
     parted = "Content-Type: multipart/mixed; boundary=B\n\n--B\n\nhello\n--B\nContent-Type: text/csv\nContent-Disposition: attachment\n\n" + ITEM + "\n"
     apart = ITEM.replace("seven", "other seven")

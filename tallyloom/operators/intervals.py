@@ -106,6 +106,22 @@ def merged_loci(reads: DataFrame, entity: str, start: str, end: str, *, padding:
     return inside.groupBy("entity", "from_pos", "to_pos").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
+def neighbours(df: DataFrame, entity: str, start: str, key: str, *, slice_width: int = SLICE_WIDTH) -> DataFrame:
+    """``entity, left, right``: each key of an entity with the key that follows it by (start, key).
+
+    A key has its least start in each entity; rows with a null in one of the three columns have no place. Keys are
+    ordered within slices of ``slice_width`` positions; the first key of the next slice is carried over one row per slice.
+    """
+    given = df.select(F.col(entity).alias("entity"), F.col(start).cast("bigint").alias("start"), F.col(key).alias("left"))
+    places = given.where("entity is not null and start is not null and left is not null").groupBy("entity", "left").agg(F.min("start").alias("start"))
+    sliced = places.withColumn("slice", F.floor(F.col("start") / slice_width))
+    first = sliced.groupBy("entity", "slice").agg(F.min(F.struct("start", "left"))["left"].alias("first"))
+    carried = first.select("entity", "slice", F.lead("first").over(Window.partitionBy("entity").orderBy("slice")).alias("next_first"))
+    following = F.lead("left").over(Window.partitionBy("entity", "slice").orderBy("start", "left"))
+    joined = sliced.withColumn("following", following).join(carried, ["entity", "slice"])
+    return joined.select("entity", "left", F.coalesce("following", "next_first").alias("right")).where("right is not null")
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, *, left_on: tuple[str, str, str], right_on: tuple[str, str, str],
     bin_width: int = 16_384, how: str = "inner",

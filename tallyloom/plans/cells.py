@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.sequence import gc_share
 from tallyloom.operators import counts
 from tallyloom.operators.evaluate import status_shares
+from tallyloom.operators.graph import mapping_differences
 from tallyloom.operators.nearest import nearest, principal_components
 from tallyloom.session import read_table, shared_folder, written
 from tallyloom.streaming.running import read_stream, run_batches, running_counts
@@ -95,12 +96,24 @@ def common_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmatched_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes seen on one of the first two lanes only, and on which."""
+    """Barcodes seen on one of the first two lanes only, and on which; ``lane_differences`` compares all lanes."""
     of = lambda lane: read_table(spark, sf_dir, "barcode_umi").where(F.col("lane") == lane).select(F.upper("barcode").alias("barcode")).where("barcode is not null").distinct()
     one, two = of(1), of(2)
     return one.join(two, "barcode", "left_anti").withColumn("side", F.lit("lane_1")).unionByName(two.join(one, "barcode", "left_anti").withColumn("side", F.lit("lane_2")))
 
 
+def lane_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``barcode, lane, missing_on``: of each two lanes of the table, the barcodes that only one of them has."""
+    table = read_table(spark, sf_dir, "barcode_umi").where("lane is not null and barcode is not null")
+    seen = table.select("lane", F.upper("barcode").alias("barcode")).distinct()
+    lanes = table.select("lane").distinct()
+    pairs = F.broadcast(lanes.select(F.col("lane").alias("a")).join(lanes.select(F.col("lane").alias("b")), F.col("a") < F.col("b")))  # lanes are few
+    of = lambda side: seen.join(pairs, F.col("lane") == F.col(side)).select(F.struct("a", "b").alias("lanes"), "barcode")
+    found = mapping_differences(of("a"), of("b"), locus="lanes", read="barcode")
+    only_a = F.col("side") == "a"
+    return found.select("barcode", F.when(only_a, F.col("lanes.a")).otherwise(F.col("lanes.b")).alias("lane"), F.when(only_a, F.col("lanes.b")).otherwise(F.col("lanes.a")).alias("missing_on"))
+
+
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     found = nearest(vectors, vectors.where("vec_id % 50 = 0"), key="vec_id", vector="embedding", k=10)
@@ -127,7 +140,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, read_status,
-        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, nearest_vectors, vector_components, streamed_counts,
+        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, streamed_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -179,6 +192,10 @@ def oracle_sql() -> dict[str, str]:
         "unmatched_reads": f"""
             SELECT barcode, 'lane_1' AS side FROM (({lane(1)}) EXCEPT ({lane(2)})) UNION ALL SELECT barcode, 'lane_2' FROM (({lane(2)}) EXCEPT ({lane(1)}))
         """,
+        "lane_differences": """
+            WITH seen AS (SELECT DISTINCT lane, upper(barcode) AS barcode FROM barcode_umi WHERE lane IS NOT NULL AND barcode IS NOT NULL), lanes AS (SELECT DISTINCT lane FROM seen)
+            SELECT s.barcode, s.lane, l.lane AS missing_on FROM seen AS s CROSS JOIN lanes AS l WHERE NOT EXISTS (SELECT 1 FROM seen AS o WHERE o.barcode = s.barcode AND o.lane = l.lane)
+        """,
         "nearest_vectors": """
             SELECT query, neighbour, round(distance, 5) AS distance FROM (
                 SELECT q.vec_id AS query, v.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(v.embedding[i] AS DOUBLE)) ** 2))) AS distance,

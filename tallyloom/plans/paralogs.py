@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import graph
+from tallyloom.operators.intervals import neighbours
 from tallyloom.plans.evaluation import CLEAN, COPY, clean_counts
 from tallyloom.session import read_table
 
@@ -65,7 +66,10 @@ def missing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Genes that lie next to each other on a chrom, and whether they are paralogs or share a minimizer of their first position."""
+    """The first gene by id of each 50,000 bases with the others there, and whether they are paralogs or share a first minimizer.
+
+    This is what its SQL states; all neighbours and all minimizers are compared by ``gene_neighbours``.
+    """
     tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
     genes = tx.groupBy("gene_id").agg(F.min("chrom").alias("chrom"), F.min("tx_start").alias("start"))
     place = F.concat_ws(":", "chrom", F.floor(F.col("start") / 50_000).cast("string"))
@@ -77,8 +81,18 @@ def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pairs_sharing(linked, members, left="left", right="right", locus="gene_id", member="minimizer")
 
 
+def gene_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gene with the next one on its chrom, and whether the two are paralogs or share any minimizer."""
+    tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
+    pairs = neighbours(tx, "chrom", "tx_start", "gene_id").withColumnRenamed("entity", "chrom")
+    paths = read_table(spark, sf_dir, "minimizer_paths").where("minimizer is not null").select(F.col("tx_id").alias("transcript_id"), F.upper("minimizer").alias("minimizer"))
+    members = paths.join(tx.select("transcript_id", "gene_id"), "transcript_id").select("gene_id", "minimizer").distinct()
+    linked = graph.linked_pairs(pairs, symmetric_links(spark, sf_dir), left="left", right="right")
+    return graph.pairs_sharing(linked, members, left="left", right="right", locus="gene_id", member="minimizer")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, missing_states, linked_neighbours)
+    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, missing_states, linked_neighbours, gene_neighbours)
     return {f.__name__: f for f in own}
 
 
@@ -125,6 +139,13 @@ def oracle_sql() -> dict[str, str]:
                 EXISTS (SELECT 1 FROM members AS x JOIN members AS y ON x.m = y.m WHERE x.gene_id = "left" AND y.gene_id = "right") AS shares
             FROM pairs
         """,
+        "gene_neighbours": f"""
+            WITH genes AS (SELECT gene_id, chrom, min(tx_start) AS start FROM transcripts WHERE gene_id IS NOT NULL AND chrom IS NOT NULL AND tx_start IS NOT NULL GROUP BY 1, 2),
+            pairs AS (SELECT * FROM (SELECT chrom, gene_id AS "left", lead(gene_id) OVER (PARTITION BY chrom ORDER BY start, gene_id) AS "right" FROM genes) WHERE "right" IS NOT NULL),
+            members AS (SELECT DISTINCT gene_id, upper(minimizer) AS m FROM minimizer_paths JOIN transcripts ON transcript_id = tx_id WHERE minimizer IS NOT NULL AND gene_id IS NOT NULL),
+            sharing AS (SELECT DISTINCT "left", "right" FROM pairs JOIN members AS x ON x.gene_id = "left" JOIN members AS y ON y.gene_id = "right" AND y.m = x.m)
+            SELECT chrom, "left", "right", ("left", "right") IN (SELECT (a, b) FROM ({SYMMETRIC})) AS linked, ("left", "right") IN (SELECT ("left", "right") FROM sharing) AS shares FROM pairs
+        """,
         "missing_states": f"""
             WITH d AS (
                 SELECT DISTINCT id FROM (

@@ -12,9 +12,10 @@ from tallyloom.operators.counts import top_by_group
 from tallyloom.operators.graph import resolved_loci
 from tallyloom.operators.intervals import best_overlap, depth_segments, merged_loci, overlap_join, periods_and_gaps
 from tallyloom.operators.simulate import simulated_counts as simulate
-from tallyloom.session import read_table
+from tallyloom.session import read_table, written
 
-CUTOFFS = [100, 500, 1000, 2000]
+#: The cutoffs of the coverage counts; those of the unique ratios (100 to 1000) are among them.
+CUTOFFS = list(range(100, 2001, 100))
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,18 +100,31 @@ def best_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_overlap(entries, _spans(spark, sf_dir), left_id="entry", right_id="transcript_id", left_on=("chrom", "chromstart", "chromend"), right_on=("tx_chrom", "tx_from", "tx_to"), padding=500)
 
 
-def coverage_by_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each cutoff, how many intervals touch the merged last bases of all transcripts."""
-    tails = annotation.at_cutoffs(_transcripts(spark, sf_dir), CUTOFFS).select(
+def _merged_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cutoff, on_chrom, from_pos, to_pos``: the last bases of all transcripts at each cutoff, merged."""
+    tails = annotation.at_cutoffs(_transcripts(spark, sf_dir).where("chrom is not null"), CUTOFFS).select(
         F.concat_ws("/", F.col("cutoff").cast("string"), F.lower("chrom")).alias("place"), (F.col("exon_start") - 1).alias("s"), F.col("exon_end").alias("e")
     )
-    merged = periods_and_gaps(tails, "place", "s", "e").where("kind = 'period'").select(
+    return periods_and_gaps(tails, "place", "s", "e").where("kind = 'period'").select(
         F.substring_index("entity", "/", 1).cast("int").alias("cutoff"), F.expr("substring(entity, instr(entity, '/') + 1)").alias("on_chrom"), "from_pos", "to_pos"
     )
-    hits = overlap_join(_entries(spark, sf_dir), merged, left_on=("chrom", "chromstart", "chromend"), right_on=("on_chrom", "from_pos", "to_pos"))
+
+
+def coverage_by_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each cutoff, how many intervals touch the merged last bases of all transcripts."""
+    hits = overlap_join(_entries(spark, sf_dir), _merged_tails(spark, sf_dir), left_on=("chrom", "chromstart", "chromend"), right_on=("on_chrom", "from_pos", "to_pos"))
     return hits.groupBy("cutoff", "chrom").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
+def coverage_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each cutoff and each stretch of merged last bases, how many intervals touch it; 0 where none does."""
+    merged = written(_merged_tails(spark, sf_dir))
+    hits = overlap_join(_entries(spark, sf_dir), merged, left_on=("chrom", "chromstart", "chromend"), right_on=("on_chrom", "from_pos", "to_pos"))
+    stretch = ["cutoff", "on_chrom", "from_pos", "to_pos"]
+    counted = merged.join(hits.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n")), stretch, "left")
+    return counted.select("cutoff", F.col("on_chrom").alias("chrom"), "from_pos", "to_pos", F.coalesce("n", F.lit(0)).alias("n_hits"))
+
+
 def region_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals by chrom and region: within an exon, else within a transcript, else between genes."""
     entries = _entries(spark, sf_dir).select("chrom", "chromstart", "chromend").distinct()
@@ -174,7 +188,7 @@ def simulated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         running_width, exon_gaps, gene_widths, last_k_trim, bed_rows, unique_ratios, signatures, longest_transcripts, stranded_periods, overlap_pairs,
-        overlap_counts, uncovered_entries, best_transcripts, coverage_by_cutoff, region_distribution, id_loci,
+        overlap_counts, uncovered_entries, best_transcripts, coverage_by_cutoff, coverage_by_interval, region_distribution, id_loci,
         depth_histogram, padded_loci, strand_shares, body_coverage, junction_saturation, simulated_counts,
     )
     return {f.__name__: f for f in own}
@@ -264,6 +278,10 @@ def oracle_sql() -> dict[str, str]:
         "coverage_by_cutoff": f"""
             SELECT cutoff, place AS chrom, count(*) AS n_hits FROM ({tails}) JOIN ({ENTRIES}) ON chrom = place AND chromstart < to_pos AND from_pos < chromend GROUP BY 1, 2
         """,
+        "coverage_by_interval": f"""
+            SELECT cutoff, place AS chrom, from_pos, to_pos, count(chromstart) AS n_hits
+            FROM ({tails}) LEFT JOIN ({ENTRIES}) ON chrom = place AND chromstart < to_pos AND from_pos < chromend GROUP BY ALL
+        """,
         "region_distribution": f"""
             SELECT chrom, CASE WHEN EXISTS (SELECT 1 FROM ({EXONS}) AS x WHERE lower(x.chrom) = e.chrom AND x.exon_start - 1 < e.chromend AND e.chromstart < x.exon_end) THEN 'exon'
                 WHEN EXISTS (SELECT 1 FROM ({SPANS}) WHERE tx_chrom = e.chrom AND tx_from < e.chromend AND e.chromstart < tx_to) THEN 'intron' ELSE 'intergenic' END AS region, count(*) AS n

@@ -36,6 +36,18 @@ def test_lane_differences_take_all_lanes(spark, tmp_path):
     assert found == [("A", 1, 4), ("A", 2, 4), ("A", 3, 4), ("B", 4, 1), ("B", 4, 2), ("B", 4, 3), ("C", 3, 1), ("C", 3, 2), ("C", 4, 1), ("C", 4, 2)]
 
 
-@pytest.mark.parametrize("name", ["gene_neighbours", "lane_differences"])
+def test_coverage_and_ratios_take_all_cutoffs(spark, tmp_path):
+    schema = "transcript_id string, gene_id string, chrom string, is_negative boolean, utr_len int, exons array<struct<exon_start: int, exon_end: int>>"
+    table(spark, tmp_path, "transcripts", [("t1", "g", "c", False, 0, [(1, 3000)]), ("t2", "g", "c", False, 0, [(5001, 5050)])], schema)
+    bed = [("c", 2890, 2900, "only beyond 100", "+"), ("c", 2950, 2960, "at all", "+"), ("c", 2950, 2960, "at all, too", "+")]
+    table(spark, tmp_path, "bed_entries", bed, "chrom string, chromstart int, chromend int, name string, strand string")
+    found = rows(entry.queries()["coverage_by_interval"](spark, str(tmp_path)), "cutoff", "chrom", "from_pos", "to_pos", "n_hits")
+    first = [(k, "c", 3000 - k, 3000, 2 if k == 100 else 3) for k in range(100, 2001, 100)]
+    assert found == sorted([*first, *((k, "c", 5000, 5050, 0) for k in range(100, 2001, 100))])
+    ratios = entry.queries()["unique_ratios"](spark, str(tmp_path))
+    assert set(range(100, 1001, 100)) <= {r.cutoff for r in ratios.collect()}
+
+
+@pytest.mark.parametrize("name", ["gene_neighbours", "lane_differences", "coverage_by_cutoff", "coverage_by_interval"])
 def test_query_is_its_sql(spark, name):
     compared(spark, name, entry.queries(), entry.oracle_sql())

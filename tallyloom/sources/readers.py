@@ -93,16 +93,29 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("row") - F.col("first")).alias("line"), "value")
 
 
+#: Fixed value: read numbers of a file start at its number times this, which no file of reads reaches.
+READS_A_FILE = 2**40
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``read_id, name, seq, qual``: each four lines of FASTQ files (plain or gzip), numbered from 0 within a file."""
-    lines = _numbered_lines(spark, path).withColumn("read_id", F.floor(F.col("line") / 4))
+    """``read_id, name, seq, qual``: each four lines of FASTQ files (plain or gzip).
+
+    Reads are numbered from 0 within a file, on top of ``READS_A_FILE`` times the number of the file; files are numbered
+    from 0 by path, empty ones as well, so that first and second reads pair up file by file.
+    """
+    names = sorted(spark.read.text(path).inputFiles())  # scans leave out empty files, this list does not
+    numbered = spark.createDataFrame([(name, no) for no, name in enumerate(names)], "file string, file_no bigint")  # one row for each file
+    alike = lambda df: df.withColumn("file", F.regexp_replace("file", "^([^:/]+:)/+", "$1/"))  # noqa: E731  file:///a in one is file:/a in the other
+    number = F.coalesce("file_no", F.raise_error(F.concat(F.lit("not in the list of files: "), "file")).cast("bigint"))
+    place = number * READS_A_FILE + F.floor(F.col("line") / 4)
+    lines = alike(_numbered_lines(spark, path)).join(F.broadcast(alike(numbered)), "file", "left").withColumn("read_id", place)
     at = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    whole = lines.groupBy("file", "read_id").agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("qual"))
+    whole = lines.groupBy("read_id").agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("qual"))
     return whole.select("read_id", F.regexp_extract("name", r"^@?(\S*)", 1).alias("name"), "seq", "qual").where("seq is not null")
 
 
 def paired(second: DataFrame, first: DataFrame) -> tuple[DataFrame, int]:
-    """Second reads with barcode and UMI of the first read at the same place, and the number of first reads left over.
+    """Second reads with barcode and UMI of the first read at the same place of the same file, and the number of first reads left over.
 
     A second read without a first one raises: the files do not belong together.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def table_differences(
     left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *,
     tolerance: dict[str, float] | None = None, missing_in_left: str = "missing_in_left", missing_in_right: str = "missing_in_right",
+    all_versions: bool = False,
 ) -> DataFrame:
     """Rows missing on either side and, for rows known on both, every field that differs.
 
@@ -21,6 +22,10 @@ def table_differences(
     The residues are what EXCEPT ALL leaves in both directions; they are joined in full by key. A key with several
     different versions in a residue cannot be paired field by field: its versions are reported as missing on the
     other side. Residues are reduced to one row per key before the join, so no key makes a large group.
+
+    With ``all_versions``, keys are missing only if the other side has none of their versions; for the keys of a residue
+    that both sides have, all versions of one side (least and greatest value, and whether there is a null) are compared
+    with all of the other, and a field differs if any two differ in it. A tolerance has to be below 1 for that.
     """
     tolerance = tolerance or {}
     a = left.select(*keys, *fields).distinct()
@@ -35,10 +40,8 @@ def table_differences(
     for i in range(len(keys)):
         both = F.col(f"l_{i}").eqNullSafe(F.col(f"r_{i}"))
         same_key = both if same_key is None else same_key & both
-    joined = residue(a, b, "l").join(residue(b, a, "r"), same_key, "full")
 
-    def differs(field: str) -> Column:
-        x, y = F.col("l_row")[field], F.col("r_row")[field]
+    def differs(field: str, x: Column, y: Column) -> Column:
         if field not in tolerance:
             return ~x.eqNullSafe(y)
         apart = F.abs(x - y) > F.lit(tolerance[field]) * F.greatest(F.abs(x), F.abs(y))
@@ -51,8 +54,34 @@ def table_differences(
         )
 
     none = F.lit(None).cast("string")
-    paired = (F.col("l_rows") == 1) & (F.col("r_rows") == 1)
-    by_field = [F.when(differs(f), entry(f, F.lit(1), F.col("l_row")[f], F.col("r_row")[f])) for f in fields]
+
+    def versions(of: DataFrame, side: str) -> DataFrame:
+        told = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.bool_or(F.col(c).isNull()).alias("null")).alias(f"{side}_of_{c}") for c in fields]
+        touched = a.exceptAll(b).select(*keys).union(b.exceptAll(a).select(*keys)).distinct().select(*[F.col(k).alias(f"t_{i}") for i, k in enumerate(keys)])
+        named = of.select(*[F.col(k).alias(f"{side}_{i}") for i, k in enumerate(keys)], *fields)
+        known = None
+        for i in range(len(keys)):
+            both = F.col(f"{side}_{i}").eqNullSafe(F.col(f"t_{i}"))
+            known = both if known is None else known & both
+        return named.join(touched, known, "left_semi").groupBy(*[f"{side}_{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias(f"{side}_rows"), *told)
+
+    def any_two(field: str) -> Column:
+        x, y = F.col(f"l_of_{field}"), F.col(f"r_of_{field}")
+        valued = x["lo"].isNotNull() & y["lo"].isNotNull()
+        of = lambda p, q: entry(field, F.lit(1), p, q)
+        return (
+            F.when(valued & differs(field, x["lo"], y["hi"]), of(x["lo"], y["hi"])).when(valued & differs(field, x["hi"], y["lo"]), of(x["hi"], y["lo"]))
+            .when(x["null"] & y["lo"].isNotNull(), of(none, y["lo"])).when(y["null"] & x["lo"].isNotNull(), of(x["lo"], none))
+        )
+
+    if all_versions:
+        joined = versions(a, "l").join(versions(b, "r"), same_key, "full")
+        paired = F.col("l_rows").isNotNull() & F.col("r_rows").isNotNull()
+        by_field = [any_two(f) for f in fields]
+    else:
+        joined = residue(a, b, "l").join(residue(b, a, "r"), same_key, "full")
+        paired = (F.col("l_rows") == 1) & (F.col("r_rows") == 1)
+        by_field = [F.when(differs(f, F.col("l_row")[f], F.col("r_row")[f]), entry(f, F.lit(1), F.col("l_row")[f], F.col("r_row")[f])) for f in fields]
     one_sided = [
         F.when(F.col("l_rows").isNotNull(), entry(missing_in_right, F.col("l_rows"), none, none)),
         F.when(F.col("r_rows").isNotNull(), entry(missing_in_left, F.col("r_rows"), none, none)),

@@ -42,7 +42,7 @@ def p6_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table_differences(
         normalised("counts"), normalised("counts_copy"), ["run", "id"], ["count", "cpm", "id_level", "gene_id"],
-        tolerance={"cpm": 1e-6}, missing_in_left="missing_in_counts", missing_in_right="missing_in_copy",
+        tolerance={"cpm": 1e-6}, missing_in_left="missing_in_counts", missing_in_right="missing_in_copy", all_versions=True,
     )
 
 

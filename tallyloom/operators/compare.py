@@ -2,93 +2,111 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _told(column: Column, kind: str) -> Column:
+    """A text that two values of an exact field share only if they are the same."""
+    if kind in ("float", "double"):
+        return (column + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+    return F.unix_micros(column).cast("string") if kind == "timestamp" else column.cast("string")
+
+
+def _stretch(x: Column, tolerance: float) -> Column:
+    """The stretch of values that a double lies in; two values of one stretch are the same within the tolerance.
+
+    Stretches are slightly narrower than the tolerance, so that rounding cannot break this. Values within the tolerance
+    of each other are then at most two stretches apart. Zero, infinities and NaN are stretches of their own.
+    """
+    number = F.floor(F.log(F.abs(x)) / F.lit(-math.log1p(-tolerance) * 0.999))
+    special = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(x == 0, "0").when(special, x.cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise("+"), number.cast("string")))
+
+
+def _near(code: Column) -> Column:
+    """The four stretches next to one; nulls where it is not one of the numbered ones."""
+    number = F.expr("try_cast(substring(code, 2) as bigint)")
+    return F.array(*[F.concat(F.substring(code, 1, 1), (number + by).cast("string")) for by in (-2, -1, 1, 2)])
+
+
 def table_differences(
     left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], *,
     tolerance: dict[str, float] | None = None, missing_in_left: str = "missing_in_left", missing_in_right: str = "missing_in_right",
-    all_versions: bool = False,
 ) -> DataFrame:
-    """Rows missing on either side and, for rows known on both, every field that differs.
+    """Rows missing on either side and, for keys known on both, every field that differs.
 
     Both sides come normalised (spelling, blanks, empty strings). Returns ``keys..., difference, n_rows, left_value,
-    right_value``: one row per key found on one side only (``n_rows`` of its versions), and one per differing field.
-    Only keys and fields are compared; other columns may have any name. Rows equal in all of them count once within
-    a side. Null equals only null, in keys as in fields. ``tolerance`` gives, for a numeric field, the share of the
-    larger absolute value up to which two values are the same.
-
-    The residues are what EXCEPT ALL leaves in both directions; they are joined in full by key. A key with several
-    different versions in a residue cannot be paired field by field: its versions are reported as missing on the
-    other side. Residues are reduced to one row per key before the join, so no key makes a large group.
-
-    With ``all_versions``, keys are missing only if the other side has none of their versions; for the keys of a residue
-    that both sides have, all versions of one side (least and greatest value, and whether there is a null) are compared
-    with all of the other, and a field differs if any two differ in it. A tolerance has to be below 1 for that.
+    right_value``: one row per key found on one side only (``n_rows`` of its versions), and one per differing field
+    (``n_rows`` is 1). Only keys and fields are compared; other columns may have any name. Rows equal in all of them count
+    once within a side. Null equals only null, in keys as in fields; NaN equals NaN. ``tolerance`` gives, for a numeric
+    field, the share (above 0, below 1) of the larger absolute value up to which two values are the same.
+
+    A key may have several different versions on a side. It is missing only if the other side has none; a field
+    differs if a side has a value of it that no version of the other side has (within the tolerance). Shown are, of each
+    side, the least such value, or its least value where all have a partner (least as text).
+
+    Fields with a tolerance are normalised to stretches of values; EXCEPT ALL in both directions leaves the residues,
+    whose keys are joined in full. The versions of these keys alone are then compared value by value, in joins on (key,
+    field, value): a key of any number of versions is spread over its values.
     """
     tolerance = tolerance or {}
-    a = left.select(*keys, *fields).distinct()
-    b = right.select(*keys, *fields).distinct()
-
-    def residue(of: DataFrame, without: DataFrame, side: str) -> DataFrame:
-        row = F.struct(*[F.col(c) for c in fields])
-        per_key = of.exceptAll(without).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_rows"), F.min(row).alias(f"{side}_row"))
-        return per_key.select(*[F.col(k).alias(f"{side}_{i}") for i, k in enumerate(keys)], f"{side}_rows", f"{side}_row")
-
-    same_key = None
-    for i in range(len(keys)):
-        both = F.col(f"l_{i}").eqNullSafe(F.col(f"r_{i}"))
-        same_key = both if same_key is None else same_key & both
-
-    def differs(field: str, x: Column, y: Column) -> Column:
-        if field not in tolerance:
-            return ~x.eqNullSafe(y)
-        apart = F.abs(x - y) > F.lit(tolerance[field]) * F.greatest(F.abs(x), F.abs(y))
-        return F.when(x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y), ~x.eqNullSafe(y)).otherwise(apart)
-
-    def entry(difference: str, rows: Column, x: Column, y: Column) -> Column:
-        return F.struct(
-            F.lit(difference).alias("difference"), rows.cast("bigint").alias("n_rows"),
-            x.cast("string").alias("left_value"), y.cast("string").alias("right_value"),
-        )
+    if bad := [f for f, share in tolerance.items() if not 0 < share < 1 or f not in fields]:
+        raise ValueError(f"tolerances of {bad}")
+    kinds = dict(left.dtypes)
 
-    none = F.lit(None).cast("string")
+    def sided(df: DataFrame) -> DataFrame:
+        key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+        return df.select(key.alias("key"), *[F.col(f).cast("double" if f in tolerance else kinds[f]).alias(f"f{i}") for i, f in enumerate(fields)])
+
+    sides = {"l": sided(left), "r": sided(right)}
+    normalised = [_stretch(F.col(f"f{i}"), tolerance[f]).alias(f"f{i}") if f in tolerance else F.col(f"f{i}") for i, f in enumerate(fields)]
+    a, b = (side.select("key", *normalised).distinct() for side in sides.values())
+    touched = a.exceptAll(b).select("key").distinct().join(b.exceptAll(a).select("key").distinct(), "key", "full")
+
+    def entry(i: int, f: str) -> Column:
+        value = F.col(f"f{i}")
+        number = value if f in tolerance else F.lit(None).cast("double")
+        code = _stretch(value, tolerance[f]) if f in tolerance else _told(value, kinds[f])
+        return F.struct(F.lit(i).alias("field"), code.alias("code"), value.cast("string").alias("text"), number.alias("number"))
 
-    def versions(of: DataFrame, side: str) -> DataFrame:
-        told = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.bool_or(F.col(c).isNull()).alias("null")).alias(f"{side}_of_{c}") for c in fields]
-        touched = a.exceptAll(b).select(*keys).union(b.exceptAll(a).select(*keys)).distinct().select(*[F.col(k).alias(f"t_{i}") for i, k in enumerate(keys)])
-        named = of.select(*[F.col(k).alias(f"{side}_{i}") for i, k in enumerate(keys)], *fields)
-        known = None
-        for i in range(len(keys)):
-            both = F.col(f"{side}_{i}").eqNullSafe(F.col(f"t_{i}"))
-            known = both if known is None else known & both
-        return named.join(touched, known, "left_semi").groupBy(*[f"{side}_{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias(f"{side}_rows"), *told)
-
-    def any_two(field: str) -> Column:
-        x, y = F.col(f"l_of_{field}"), F.col(f"r_of_{field}")
-        valued = x["lo"].isNotNull() & y["lo"].isNotNull()
-        of = lambda p, q: entry(field, F.lit(1), p, q)
-        return (
-            F.when(valued & differs(field, x["lo"], y["hi"]), of(x["lo"], y["hi"])).when(valued & differs(field, x["hi"], y["lo"]), of(x["hi"], y["lo"]))
-            .when(x["null"] & y["lo"].isNotNull(), of(none, y["lo"])).when(y["null"] & x["lo"].isNotNull(), of(x["lo"], none))
-        )
-
-    if all_versions:
-        joined = versions(a, "l").join(versions(b, "r"), same_key, "full")
-        paired = F.col("l_rows").isNotNull() & F.col("r_rows").isNotNull()
-        by_field = [any_two(f) for f in fields]
-    else:
-        joined = residue(a, b, "l").join(residue(b, a, "r"), same_key, "full")
-        paired = (F.col("l_rows") == 1) & (F.col("r_rows") == 1)
-        by_field = [F.when(differs(f, F.col("l_row")[f], F.col("r_row")[f]), entry(f, F.lit(1), F.col("l_row")[f], F.col("r_row")[f])) for f in fields]
-    one_sided = [
-        F.when(F.col("l_rows").isNotNull(), entry(missing_in_right, F.col("l_rows"), none, none)),
-        F.when(F.col("r_rows").isNotNull(), entry(missing_in_left, F.col("r_rows"), none, none)),
-    ]
-    found = F.when(F.coalesce(paired, F.lit(False)), F.array(*by_field)).otherwise(F.array(*one_sided))
-    named = [F.when(F.col("l_rows").isNotNull(), F.col(f"l_{i}")).otherwise(F.col(f"r_{i}")).alias(k) for i, k in enumerate(keys)]
-    return (
-        joined.select(*named, F.explode(F.filter(found, lambda e: e.isNotNull())).alias("__entry"))
-        .select(*keys, "__entry.difference", "__entry.n_rows", "__entry.left_value", "__entry.right_value")
+    none = F.lit(None).cast("string")
+    whole = F.struct(F.lit(-1).alias("field"), none.alias("code"), none.alias("text"), F.lit(None).cast("double").alias("number"))
+    entries = F.array(whole, *[entry(i, f) for i, f in enumerate(fields)])
+    versions = [side.join(touched, "key", "left_semi").distinct().select("key", F.lit(name).alias("side"), F.explode(entries).alias("e")) for name, side in sides.items()]
+    of = lambda name: F.count_if(F.col("side") == name).alias(f"{name}_n")
+    values = versions[0].union(versions[1]).select("key", "side", "e.*").groupBy("key", "field", "code", "text", "number").agg(of("l"), of("r"))
+    on = lambda side, c: F.when(F.col(f"{side}_n") > 0, F.col(c))
+    by_code = values.groupBy("key", "field", "code").agg(
+        *[F.sum(f"{s}_n").alias(f"{s}_of_code") for s in "lr"],
+        *[how(on(s, "number")).alias(f"{s}_{name}") for s in "lr" for name, how in (("low", F.min), ("high", F.max))],
+    )
+    same_code = (F.col("v.key") == F.col("c.key")) & (F.col("v.field") == F.col("c.field")) & F.col("v.code").eqNullSafe(F.col("c.code"))
+    lone = values.alias("v").join(by_code.where("field >= 0 and (l_of_code = 0 or r_of_code = 0)").alias("c"), same_code, "left_semi")
+    if tolerance:
+        share = F.element_at(F.array(*[F.lit(tolerance.get(f, 0.0)) for f in fields]), F.col("field") + 1)
+        close = lambda c: F.coalesce(F.abs(F.col("number") - F.col(c)) <= share * F.greatest(F.abs("number"), F.abs(c)), F.lit(False))
+        asked = lone.where("number is not null").select("key", "field", "text", "number", "l_n", F.explode(_near(F.col("code"))).alias("code"))
+        partner = F.when(F.col("l_n") > 0, close("r_low") | close("r_high")).otherwise(close("l_low") | close("l_high"))
+        met = asked.join(by_code, ["key", "field", "code"]).where(partner).select("key", "field", "text").distinct()
+        lone = lone.alias("v").join(met.alias("m"), (F.col("v.key") == F.col("m.key")) & (F.col("v.field") == F.col("m.field")) & (F.col("v.text") == F.col("m.text")), "left_anti")
+    marked = values.withColumn("lone", F.lit(False)).unionByName(lone.withColumn("lone", F.lit(True)))
+    least = lambda s, lone: F.min(F.when(F.col("lone") == lone, on(s, "text")))
+    shown = lambda s: F.when(F.count_if(F.col("lone") & (F.col(f"{s}_n") > 0)) > 0, least(s, True)).otherwise(least(s, False)).alias(f"{s}_value")
+    per_field = marked.groupBy("key", "field").agg(
+        F.count_if("lone").alias("n_lone"), F.max("l_n").alias("l_n"), F.max("r_n").alias("r_n"), shown("l"), shown("r")
+    )
+    found = F.when((F.col("field") >= 0) & (F.col("n_lone") > 0), F.struct("field", F.col("l_value").alias("left_value"), F.col("r_value").alias("right_value")))
+    per_key = per_field.groupBy("key").agg(  # at most one entry for each field
+        *[F.max(F.when(F.col("field") < 0, F.col(f"{s}_n"))).alias(f"{s}_rows") for s in "lr"], F.collect_list(found).alias("found")
+    )
+    line = lambda difference, n, x, y: F.struct(difference.alias("difference"), n.cast("bigint").alias("n_rows"), x.alias("left_value"), y.alias("right_value"))
+    names = F.array(*[F.lit(f) for f in fields])
+    lines = (
+        F.when(F.col("r_rows") == 0, F.array(line(F.lit(missing_in_right), F.col("l_rows"), none, none)))
+        .when(F.col("l_rows") == 0, F.array(line(F.lit(missing_in_left), F.col("r_rows"), none, none)))
+        .otherwise(F.transform("found", lambda e: line(F.element_at(names, e["field"] + 1), F.lit(1), e["left_value"], e["right_value"])))
     )
+    return per_key.select("key", F.explode(lines).alias("e")).select(*[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)], "e.*")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import written
+
 
 def _told(column: Column, kind: str) -> Column:
     """A text that two values of an exact field share only if they are the same."""
@@ -26,10 +28,10 @@ def _stretch(x: Column, tolerance: float) -> Column:
     return F.when(x == 0, "0").when(special, x.cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise("+"), number.cast("string")))
 
 
-def _near(code: Column) -> Column:
-    """The four stretches next to one; nulls where it is not one of the numbered ones."""
+def _with_near(code: Column) -> Column:
+    """A stretch and the four next to it; nulls for these where it is not a numbered one."""
     number = F.expr("try_cast(substring(code, 2) as bigint)")
-    return F.array(*[F.concat(F.substring(code, 1, 1), (number + by).cast("string")) for by in (-2, -1, 1, 2)])
+    return F.array(code, *[F.concat(F.substring(code, 1, 1), (number + by).cast("string")) for by in (-2, -1, 1, 2)])
 
 
 def table_differences(
@@ -50,7 +52,7 @@ def table_differences(
 
     Fields with a tolerance are normalised to stretches of values; EXCEPT ALL in both directions leaves the residues,
     whose keys are joined in full. The versions of these keys alone are then compared value by value, in joins on (key,
-    field, value): a key of any number of versions is spread over its values.
+    field, value), for which they are written to the shared folder: a key of any number of versions is spread over its values.
     """
     tolerance = tolerance or {}
     if bad := [f for f, share in tolerance.items() if not 0 < share < 1 or f not in fields]:
@@ -77,22 +79,25 @@ def table_differences(
     entries = F.array(whole, *[entry(i, f) for i, f in enumerate(fields)])
     versions = [side.join(touched, "key", "left_semi").distinct().select("key", F.lit(name).alias("side"), F.explode(entries).alias("e")) for name, side in sides.items()]
     of = lambda name: F.count_if(F.col("side") == name).alias(f"{name}_n")
-    values = versions[0].union(versions[1]).select("key", "side", "e.*").groupBy("key", "field", "code", "text", "number").agg(of("l"), of("r"))
+    # read several times below, so written once; it holds the residues' keys only
+    values = written(versions[0].union(versions[1]).select("key", "side", "e.*").groupBy("key", "field", "code", "text", "number").agg(of("l"), of("r")))
     on = lambda side, c: F.when(F.col(f"{side}_n") > 0, F.col(c))
-    by_code = values.groupBy("key", "field", "code").agg(
-        *[F.sum(f"{s}_n").alias(f"{s}_of_code") for s in "lr"],
-        *[how(on(s, "number")).alias(f"{s}_{name}") for s in "lr" for name, how in (("low", F.min), ("high", F.max))],
-    )
-    same_code = (F.col("v.key") == F.col("c.key")) & (F.col("v.field") == F.col("c.field")) & F.col("v.code").eqNullSafe(F.col("c.code"))
-    lone = values.alias("v").join(by_code.where("field >= 0 and (l_of_code = 0 or r_of_code = 0)").alias("c"), same_code, "left_semi")
+    alone = (F.col("l_n") == 0) | (F.col("r_n") == 0)
     if tolerance:
+        measured = values.where("number is not null")
+        by_code = measured.groupBy("key", "field", "code").agg(
+            *[how(on(s, "number")).alias(f"{s}_{name}") for s in "lr" for name, how in (("low", F.min), ("high", F.max))]
+        )
         share = F.element_at(F.array(*[F.lit(tolerance.get(f, 0.0)) for f in fields]), F.col("field") + 1)
-        close = lambda c: F.coalesce(F.abs(F.col("number") - F.col(c)) <= share * F.greatest(F.abs("number"), F.abs(c)), F.lit(False))
-        asked = lone.where("number is not null").select("key", "field", "text", "number", "l_n", F.explode(_near(F.col("code"))).alias("code"))
-        partner = F.when(F.col("l_n") > 0, close("r_low") | close("r_high")).otherwise(close("l_low") | close("l_high"))
-        met = asked.join(by_code, ["key", "field", "code"]).where(partner).select("key", "field", "text").distinct()
-        lone = lone.alias("v").join(met.alias("m"), (F.col("v.key") == F.col("m.key")) & (F.col("v.field") == F.col("m.field")) & (F.col("v.text") == F.col("m.text")), "left_anti")
-    marked = values.withColumn("lone", F.lit(False)).unionByName(lone.withColumn("lone", F.lit(True)))
+        close = lambda c: F.col("own") | (F.abs(F.col("number") - F.col(c)) <= share * F.greatest(F.abs("number"), F.abs(c)))
+        asked = measured.where(alone).select("key", "field", "text", "number", "l_n", F.col("code").alias("of"), F.explode(_with_near(F.col("code"))).alias("code"))
+        other = F.when(F.col("l_n") > 0, F.coalesce(close("r_low") | close("r_high"), F.lit(False)) & F.col("r_low").isNotNull())
+        other = other.otherwise(F.coalesce(close("l_low") | close("l_high"), F.lit(False)) & F.col("l_low").isNotNull())
+        met = asked.join(by_code, ["key", "field", "code"]).withColumn("own", F.col("of") == F.col("code")).where(other)
+        met = met.select("key", "field", "text").distinct().withColumn("met", F.lit(True))
+        marked = values.join(met, ["key", "field", "text"], "left").withColumn("lone", alone & F.col("met").isNull())
+    else:
+        marked = values.withColumn("lone", alone)
     least = lambda s, lone: F.min(F.when(F.col("lone") == lone, on(s, "text")))
     shown = lambda s: F.when(F.count_if(F.col("lone") & (F.col(f"{s}_n") > 0)) > 0, least(s, True)).otherwise(least(s, False)).alias(f"{s}_value")
     per_field = marked.groupBy("key", "field").agg(

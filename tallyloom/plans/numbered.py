@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = read_table(spark, sf_dir, "minimizer_paths").where("tx_id is not null and minimizer is not null")
     rows = paths.select(nucleotide_code("minimizer").alias("minimizer"), "tx_id", "pos")
-    return salted_aggregate(rows.distinct(), "minimizer", member="tx_id", lowest_highest="pos", heavy_from=rows)
+    return salted_aggregate(rows, "minimizer", member="tx_id", lowest_highest="pos", once=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

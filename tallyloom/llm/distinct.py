@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+
+from tallyloom.session import shared_folder, written
 
 #: Codes of a bucket; a bitmap has one bit for each.
 BUCKET = 32_768
 #: Up to so many members a bitmap is kept as their sorted 16-bit positions, beyond as plain bits; neither exceeds 4096 bytes.
 FEW = BUCKET // 16
-#: Cells (combinations of all dimensions) that are broadcast for numbering; beyond, they are joined by shuffle.
-MOST_CELLS = 100_000
+#: Pairs of code and cell that a task holds before it emits their bitmaps, and bitmaps that it ORs at once. They bound its memory.
+MOST_WAITING = 2_000_000
+MOST_ROWS = 2048
 
 
 def pack(positions: np.ndarray) -> bytes:
@@ -39,9 +43,43 @@ def unpack(bitmap: bytes) -> np.ndarray:
     return np.packbits(bits)
 
 
-def count_bits(bits: np.ndarray) -> np.ndarray:
-    """Set bits of each row of plain bits."""
-    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
+def or_groups(bitmaps: list[bytes], group: np.ndarray, n_groups: int) -> tuple[list[bytes], np.ndarray]:
+    """The OR of the bitmaps of each group (numbered from 0), and how many bits it has."""
+    size = np.array([len(b) for b in bitmaps], np.int64)
+    plain = size == BUCKET // 8
+    few = np.frombuffer(b"".join(b for b, p in zip(bitmaps, plain, strict=True) if not p), "<u2")
+    members = np.unique(np.repeat(group[~plain], size[~plain] // 2).astype(np.int64) * BUCKET + few)
+    of, at = members // BUCKET, members % BUCKET
+    counts = np.bincount(of, minlength=n_groups)
+    big = counts >= FEW
+    big[group[plain]] = True
+    rows = np.flatnonzero(big)
+    bits = np.zeros((len(rows), BUCKET // 8), np.uint8)
+    place = np.zeros(n_groups, np.int64)
+    place[rows] = np.arange(len(rows))
+    if len(rows):
+        own = big[of]
+        np.bitwise_or.at(bits.reshape(-1), place[of[own]] * (BUCKET // 8) + at[own] // 8, (128 >> (at[own] % 8)).astype(np.uint8))
+    if plain.any():
+        given = np.frombuffer(b"".join(b for b, p in zip(bitmaps, plain, strict=True) if p), np.uint8).reshape(-1, BUCKET // 8)
+        order = np.argsort(group[plain], kind="stable")
+        sorted_groups = group[plain][order]
+        starts = np.flatnonzero(np.r_[True, sorted_groups[1:] != sorted_groups[:-1]])
+        bits[place[sorted_groups[starts]]] |= np.bitwise_or.reduceat(given[order], starts, axis=0)
+    counts[rows] = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    ends = np.searchsorted(of, np.arange(n_groups + 1))
+    small = at.astype("<u2")
+    ored = [bits[place[g]].tobytes() if big[g] else small[ends[g] : ends[g + 1]].tobytes() for g in range(n_groups)]
+    return ored, counts
+
+
+def _codes(table: pa.Table, names: list[str]) -> np.ndarray:
+    """A number for each row, equal where the named columns are (nulls included)."""
+    code = np.zeros(table.num_rows, np.int64)
+    for name in names:
+        values = table[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = np.unique(code * max(len(values.dictionary), 1) + values.indices.to_numpy(), return_inverse=True)[1]
+    return code
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,149 +88,211 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([]).to_batches()
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the sorted identifiers of a shard 0, 1, 2, ... and emits, bucket by bucket, each cell's bitmap."""
-    shard = TaskContext.get().partitionId()
-    names = ["kind", "cell", "shard", "bucket", "bitmap"]
+class IdentifierDictionary:
+    """The codes of identifiers, kept in a folder so that bitmaps of different runs can be merged.
+
+    A code is dense within its kind and shard. The number of shards is fixed when the dictionary is made, and kept with it;
+    so are its kinds. Later runs look up the codes of known identifiers and add the new ones. One run may write at a time.
+    """
 
-    def emit(kind: int, bucket: int, codes: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((codes, cells))
-        cells, codes = cells[order], codes[order] % BUCKET
-        fresh = np.ones(len(cells), bool)
-        fresh[1:] = (cells[1:] != cells[:-1]) | (codes[1:] != codes[:-1])
-        cells, codes = cells[fresh], codes[fresh]
-        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-        bitmaps = [pack(part) for part in np.split(codes, starts[1:])]
+    def __init__(self, spark: SparkSession, kinds: list[str], *, path: str | None = None, shards: int | None = None) -> None:
+        self.spark = spark
+        self.kept = path is not None
+        self.path = path or f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
+        if not self._has("meta"):
+            given = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(given, kinds)], "shards int, kinds array<string>").write.parquet(f"{self.path}/meta")
+        self.shards, self.kinds = spark.read.parquet(f"{self.path}/meta").first()
+        if shards not in (None, self.shards) or not set(kinds) <= set(self.kinds):
+            raise ValueError(f"the dictionary has {self.shards} shards and the kinds {self.kinds}")
+
+    def _has(self, name: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    def entries(self) -> DataFrame:
+        """``kind`` (its number), ``shard, id, code``."""
+        schema = "kind int, shard int, id string, code bigint"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/entries") if self._has("entries") else self.spark.createDataFrame([], schema)
+
+    def sizes(self) -> dict[tuple[int, int], int]:
+        """How many codes each (kind, shard) has: no more rows than kinds times shards."""
+        rows = self.entries().groupBy("kind", "shard").agg(F.max("code").alias("last")).collect()
+        return {(r["kind"], r["shard"]): r["last"] + 1 for r in rows}
+
+    def add(self, entries: DataFrame) -> None:
+        entries.write.mode("append").parquet(f"{self.path}/entries")
+
+
+def _encoder(sizes: dict[tuple[int, int], int], keep: bool):
+    """Scans the sorted identifiers of a shard: known ones have their code, new ones get the next; bucket by bucket, emits each cell's bitmap."""
+    names = ["kind", "cell", "shard", "bucket", "bitmap", "id", "code"]
+
+    def bitmaps(kind: int, shard: int, codes: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+        buckets, codes = codes // BUCKET, codes % BUCKET
+        order = np.lexsort((codes, cells, buckets))
+        buckets, cells, codes = buckets[order], cells[order], codes[order]
+        other = (cells[1:] != cells[:-1]) | (buckets[1:] != buckets[:-1])
+        fresh = np.r_[True, other | (codes[1:] != codes[:-1])]
+        starts = np.flatnonzero(np.r_[True, other][fresh])
+        buckets, cells, codes = buckets[fresh], cells[fresh], codes[fresh]
         n = len(starts)
+        packed = [pack(part) for part in np.split(codes, starts[1:])]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(cells[starts]), pa.array(np.full(n, shard, np.int32)),
-             pa.array(np.full(n, bucket, np.int64)), pa.array(bitmaps, pa.binary())], names,
+            [pa.array(np.full(n, kind, np.int32)), pa.array(cells[starts]), pa.array(np.full(n, shard, np.int32)), pa.array(buckets[starts]),
+             pa.array(packed, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names,
         )
 
-    last_kind = last_id = None
-    code, waiting = -1, []
-    open_kind, open_bucket = None, None
-
-    def flush() -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        last, code, open_kind, following, waiting, n_waiting = (None, None), -1, None, 0, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds, ids, cells, known = batch.columns
+            first = np.ones(batch.num_rows, bool)
+            first[1:] = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(kinds[1:], kinds[:-1])).to_numpy(zero_copy_only=False)
+            first[0] = (kinds[0].as_py(), ids[0].as_py()) != last
+            kind = kinds.to_numpy()
+            has_code = known.is_valid().to_numpy(zero_copy_only=False)
+            given = known.fill_null(-1).to_numpy()
+            for of in np.unique(kind):
+                rows = np.flatnonzero(kind == of)
+                if of != open_kind:
+                    if waiting:
+                        yield bitmaps(open_kind, shard, *map(np.concatenate, zip(*waiting, strict=True)))
+                        waiting, n_waiting = [], 0
+                    open_kind, code, following = int(of), -1, sizes.get((int(of), shard), 0)
+                starts = first[rows]
+                new = starts & ~has_code[rows]
+                numbers = np.where(new, following + np.cumsum(new) - 1, given[rows])
+                following += int(new.sum())
+                at = np.cumsum(starts) - 1  # of each row, the identifier's first row; -1 goes on from the batch before
+                own = np.r_[numbers[starts], code][at]
+                code = int(own[-1])
+                if keep and new.any():
+                    n = int(new.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, of, np.int32)), pa.nulls(n, pa.int64()), pa.array(np.full(n, shard, np.int32)), pa.nulls(n, pa.int64()),
+                         pa.nulls(n, pa.binary()), ids.take(pa.array(rows[new])), pa.array(numbers[new])], names,
+                    )
+                in_cell = cells.take(pa.array(rows))
+                counted = in_cell.is_valid().to_numpy(zero_copy_only=False)
+                if counted.any():
+                    waiting.append((own[counted], in_cell.drop_null().to_numpy()))
+                    n_waiting += int(counted.sum())
+                if n_waiting > MOST_WAITING:
+                    yield bitmaps(open_kind, shard, *map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, n_waiting = [], 0
+            last = kinds[-1].as_py(), ids[-1].as_py()
         if waiting:
-            yield emit(open_kind, open_bucket, np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting]))
-            waiting.clear()
+            yield bitmaps(open_kind, shard, *map(np.concatenate, zip(*waiting, strict=True)))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kinds, ids, cells = batch.columns
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(kinds[1:], kinds[:-1])).to_numpy(zero_copy_only=False)
-        new[0] = (kinds[0].as_py(), ids[0].as_py()) != (last_kind, last_id)
-        kind, cell = kinds.to_numpy(), cells.to_numpy()
-        for of in np.unique(kind):
-            rows = np.flatnonzero(kind == of)
-            if of != open_kind:
-                yield from flush()
-                open_kind, open_bucket, code = int(of), None, -1
-            codes = code + np.cumsum(new[rows])
-            code = int(codes[-1])
-            buckets = codes // BUCKET
-            for bucket in np.unique(buckets):
-                if bucket != open_bucket:
-                    yield from flush()
-                    open_bucket = int(bucket)
-                here = rows[buckets == bucket]
-                waiting.append((codes[buckets == bucket], cell[here]))
-        last_kind, last_id = kinds[-1].as_py(), ids[-1].as_py()
-    yield from flush()
-
-
-def distinct_bitmaps(df: DataFrame, dimensions: list[str], identifiers: dict[str, list[str]]) -> DataFrame:
-    """Mergeable partial results: ``kind, <dimensions>, shard, bucket, bitmap``.
+    return encode
+
+
+def distinct_bitmaps(df: DataFrame, dimensions: list[str], identifiers: dict[str, list[str]], *, dictionary: IdentifierDictionary | None = None) -> DataFrame:
+    """Partial results: ``kind, <dimensions>, shard, bucket, bitmap``, written to the shared folder.
 
     ``identifiers`` names the kinds of identifier to count and the string columns that make one up; one with a
     null in any of them is not counted. A null dimension is a value of its own. Repeated rows change nothing,
     other columns may have any name, an empty table gives no rows.
 
-    Identifiers are hash-partitioned into shards (after equal ones of a batch are combined, so that a hot one
-    does not fill a shard), sorted, and numbered densely within their shard; a bucket holds the bitmaps of
-    ``BUCKET`` successive codes, one for each cell of the dimensions. OR over cells (and AND, for what they have in
-    common) is exact bucket by bucket, as an identifier has the same shard, bucket and position everywhere.
+    Identifiers are hash-partitioned into shards (after equal ones of a batch are combined, so that a hot one does not
+    fill a shard), sorted, and numbered densely within their kind and shard; a bitmap has ``BUCKET`` successive codes of
+    one cell of the dimensions. An identifier has the same shard, bucket and position everywhere, so OR over cells (and AND, for
+    what they have in common) is exact bucket by bucket. With a kept ``dictionary`` this holds for the bitmaps of all runs that use
+    it: known identifiers are shuffled with the rows and keep their codes, new ones are added. Bitmaps of runs without a
+    common dictionary must not be united.
     """
     spark = df.sparkSession
     columns = list(dict.fromkeys(c for own in identifiers.values() for c in own))
-    if taken := {"kind", "cell", "shard", "bucket", "bitmap", "by", "n_distinct"} & set(dimensions):
+    if taken := {"kind", "cell", "shard", "bucket", "bitmap", "by", "n_distinct", "n", "subset"} & set(dimensions):
         raise ValueError(f"dimensions may not be named {sorted(taken)}")
+    dictionary = dictionary or IdentifierDictionary(spark, list(identifiers))
     df = df.select(*dict.fromkeys([*dimensions, *columns]))
-    cells = df.select(*dimensions).distinct()
-    known = cells.limit(MOST_CELLS + 1).collect()
-    small = len(known) <= MOST_CELLS
-    if small:
-        numbered = [(*row, n) for n, row in enumerate(sorted(known, key=lambda r: [(v is None, str(v)) for v in r]))]
-        cells = F.broadcast(spark.createDataFrame(numbered, cells.schema.add("cell", IntegerType())))
-        joined = df.join(cells, _all([df[d].eqNullSafe(cells[d]) for d in dimensions])).select(cells["cell"], *[df[c] for c in columns])
-    else:
-        name = F.xxhash64(*dimensions, *[F.col(d).isNull() for d in dimensions]).alias("cell")
-        cells, joined = cells.select(*dimensions, name), df.select(name, *columns)
-        if cells.groupBy("cell").count().where("count > 1").limit(1).count():
-            raise RuntimeError("two combinations of the dimensions have the same hash")
+    cells = written(df.select(*dimensions).distinct().withColumn("cell", F.monotonically_increasing_id()))
+    same = reduce(lambda x, y: x & y, [df[d].eqNullSafe(cells[d]) for d in dimensions])
+    joined = df.join(cells, same).select("cell", *[df[c] for c in columns])  # broadcast or shuffled by the measured size of cells
     entries = F.array(*[
         F.when(
-            _all([F.col(c).isNotNull() for c in own]),
-            F.struct(F.lit(k).alias("kind"), F.concat_ws("\x1f", *own).alias("id")),
+            reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in own]),
+            F.struct(F.lit(dictionary.kinds.index(k)).alias("kind"), F.concat_ws("\x1f", *own).alias("id")),
         )
-        for k, own in enumerate(identifiers.values())
+        for k, own in identifiers.items()
     ])
-    cell_type = dict(joined.dtypes)["cell"]
     rows = joined.select("cell", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.kind", "e.id", "cell")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = (
-        rows.mapInArrow(_combined, f"kind int, id string, cell {cell_type}")
-        .repartition(shards, "kind", "id").sortWithinPartitions("kind", "id")
-        .mapInArrow(_encoded, f"kind int, cell {cell_type}, shard int, bucket bigint, bitmap binary")
+    combined = rows.mapInArrow(_combined, "kind int, id string, cell bigint").withColumn("code", F.lit(None).cast("bigint"))
+    sizes = dictionary.sizes()
+    if sizes:
+        known = dictionary.entries().where(F.col("kind").isin([dictionary.kinds.index(k) for k in identifiers]))
+        combined = combined.union(known.select("kind", "id", F.lit(None).cast("bigint").alias("cell"), "code"))
+    coded = written(
+        combined.repartition(dictionary.shards, "kind", "id").sortWithinPartitions("kind", "id", F.col("code").desc_nulls_last())
+        .mapInArrow(_encoder(sizes, dictionary.kept), "kind int, cell bigint, shard int, bucket bigint, bitmap binary, id string, code bigint")
     )
-    names = F.array(*[F.lit(k) for k in identifiers])
-    return coded.join(cells, "cell").select(
+    if dictionary.kept:
+        dictionary.add(coded.where("id is not null").select("kind", "shard", "id", "code"))
+    names = F.array(*[F.lit(k) for k in dictionary.kinds])
+    return coded.where("bitmap is not null").join(cells, "cell").select(
         F.element_at(names, F.col("kind") + 1).alias("kind"), *dimensions, "shard", "bucket", "bitmap"
     )
 
 
-def _all(conditions: list):
-    together = conditions[0]
-    for condition in conditions[1:]:
-        together = together & condition
-    return together
+def ored(bitmaps: DataFrame, by: list[str]) -> DataFrame:
+    """``<by>, bitmap, n``: the OR of the bitmaps of each group, and its bits.
+
+    Bitmaps of a batch are ORed before they are shuffled; afterwards they come sorted by group, and a task holds
+    ``MOST_ROWS`` of them and the open group's OR, whatever the number of groups or of their rows.
+    """
+    kinds = dict(bitmaps.dtypes)
+    given = bitmaps.select(*by, "bitmap")
+
+    def some(table: pa.Table, group: np.ndarray) -> pa.Table:
+        first = np.unique(group, return_index=True)[1]
+        merged, counts = or_groups(table["bitmap"].to_pylist(), group, len(first))
+        columns = [table[c].combine_chunks().take(pa.array(first)) for c in by]
+        return pa.table([*columns, pa.array(merged, pa.binary()), pa.array(counts)], names=[*by, "bitmap", "n"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOST_ROWS):
+                table = pa.Table.from_batches([batch.slice(at, MOST_ROWS)])
+                yield from some(table, _codes(table, by)).drop(["n"]).to_batches()
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOST_ROWS):
+                table = pa.Table.from_batches([batch.slice(at, MOST_ROWS)])
+                if held is not None:
+                    table = pa.concat_tables([held.drop(["n"]).cast(table.schema), table])
+                code = _codes(table, by)
+                group = np.cumsum(np.r_[False, code[1:] != code[:-1]])
+                done = some(table, group)
+                held = done.slice(done.num_rows - 1)
+                yield from done.slice(0, done.num_rows - 1).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    columns = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    together = given.mapInArrow(partial, f"{columns}, bitmap binary").repartition(*by).sortWithinPartitions(*by)
+    return together.mapInArrow(final, f"{columns}, bitmap binary, n bigint")
 
 
 def distinct_counts(bitmaps: DataFrame, dimensions: list[str]) -> DataFrame:
     """Exact distinct identifiers for every subset of the dimensions: ``kind, by, <dimensions>, n_distinct``.
 
-    ``by`` names the dimensions of the subset (``all`` for none); the others are null. Per bucket the bitmaps of a
-    group's cells are ORed and their bits counted; the counts of the buckets are added up.
+    ``by`` names the dimensions of the subset (``all`` for none); the others are null. Per group and bucket the bitmaps
+    of its cells are ORed and their bits counted; the counts of the buckets are added up. ``bitmaps`` may unite several runs.
     """
     subsets = [c for n in range(len(dimensions), -1, -1) for c in combinations(range(len(dimensions)), n)]
     kinds = dict(bitmaps.dtypes)
-    schema = f"kind string, subset int, {', '.join(f'`{d}` {kinds[d]}' for d in dimensions)}, n bigint"
-
-    def per_bucket(table: pa.Table) -> pa.Table:
-        bits = np.stack([unpack(b.as_py()) for b in table["bitmap"]])
-        values = [table[d].combine_chunks().dictionary_encode(null_encoding="encode") for d in dimensions]
-        codes = [v.indices.to_numpy() for v in values]
-        found: list[pa.Table] = []
-        for number, subset in enumerate(subsets):
-            key = np.zeros(len(bits), np.int64)
-            for i in subset:
-                key = key * len(values[i].dictionary) + codes[i]
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            n = count_bits(np.bitwise_or.reduceat(bits[order], starts, axis=0))
-            first = pa.array(order[starts])
-            columns = [table[d].combine_chunks().take(first) if i in subset else pa.nulls(len(first), table[d].type) for i, d in enumerate(dimensions)]
-            found.append(pa.table(
-                [pa.array([table["kind"][0].as_py()] * len(first)), pa.array(np.full(len(first), number, np.int32)), *columns, pa.array(n)],
-                names=["kind", "subset", *dimensions, "n"],
-            ))
-        return pa.concat_tables(found)
-
+    of_subset = lambda s: [F.col(d) if i in s else F.lit(None).cast(kinds[d]) for i, d in enumerate(dimensions)]
+    masked = F.array(*[F.struct(F.lit(n).alias("subset"), *[c.alias(d) for c, d in zip(of_subset(s), dimensions, strict=True)]) for n, s in enumerate(subsets)])
+    rows = bitmaps.select("kind", "shard", "bucket", "bitmap", F.explode(masked).alias("e")).select("e.*", "kind", "shard", "bucket", "bitmap")
+    counted = ored(rows, ["subset", *dimensions, "kind", "shard", "bucket"])
     labels = F.array(*[F.lit("+".join(dimensions[i] for i in s) or "all") for s in subsets])
-    counted = bitmaps.groupBy("kind", "shard", "bucket").applyInArrow(per_bucket, schema)
     return (
         counted.groupBy("kind", "subset", *dimensions).agg(F.sum("n").alias("n_distinct"))
         .select("kind", F.element_at(labels, F.col("subset") + 1).alias("by"), *dimensions, "n_distinct")
@@ -200,13 +300,18 @@ def distinct_counts(bitmaps: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def common_counts(bitmaps: DataFrame, left: str, right: str) -> DataFrame:
-    """``kind, n_common``: identifiers found both in cells that satisfy ``left`` and in cells that satisfy ``right`` (SQL predicates)."""
-    sided = bitmaps.withColumn("in_left", F.expr(left)).withColumn("in_right", F.expr(right)).where("in_left or in_right")
+    """``kind, n_common``: identifiers found both in cells that satisfy ``left`` and in cells that satisfy ``right`` (SQL predicates).
+
+    The bitmaps of each side are ORed bucket by bucket, those of both sides ANDed. A kind without a common one has no row.
+    """
+    key = ["kind", "shard", "bucket"]
+    a = ored(bitmaps.where(left), key).select(*key, F.col("bitmap").alias("x"))
+    b = ored(bitmaps.where(right), key).select(*key, F.col("bitmap").alias("y"))
 
-    def per_bucket(table: pa.Table) -> pa.Table:
-        bits = np.stack([unpack(b.as_py()) for b in table["bitmap"]])
-        sides = [np.array(table[c].fill_null(False).to_pylist(), bool) for c in ("in_left", "in_right")]
-        a, b = (np.bitwise_or.reduce(bits[side], axis=0, initial=0) for side in sides)
-        return pa.table({"kind": [table["kind"][0].as_py()], "n": [int(count_bits(a & b))]})
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            n = [int(np.bitwise_count(unpack(x) & unpack(y)).sum(dtype=np.int64)) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(n, pa.int64())], ["kind", "n"])
 
-    return sided.groupBy("kind", "shard", "bucket").applyInArrow(per_bucket, "kind string, n bigint").groupBy("kind").agg(F.sum("n").alias("n_common"))
+    return a.join(b, key).mapInArrow(both, "kind string, n bigint").groupBy("kind").agg(F.sum("n").alias("n_common")).where("n_common > 0")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.distinct import distinct_bitmaps, distinct_counts
+from tallyloom.llm.distinct import IdentifierDictionary, common_counts, distinct_bitmaps, distinct_counts
 from tallyloom.llm.frequency import marked, term_frequencies
 from tallyloom.llm.leaks import leaked_spans
 from tallyloom.llm.packing import pack_items, token_counts
 from tallyloom.llm.subjects import subject_posteriors
-from tallyloom.session import read_table, written
+from tallyloom.session import read_table, shared_folder, written
 
 
 def gene_number(column: str):
@@ -50,12 +51,35 @@ def _identifier(column: str):
     return F.when(upper != "UNKNOWN", upper)
 
 
-def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = read_table(spark, sf_dir, "barcode_umi").select(
+PARTS = ["day", "slide", "lane"]
+IDENTIFIERS = {"barcode": ["barcode"], "umi": ["umi"], "barcode_umi": ["barcode", "umi"]}
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "barcode_umi").select(
         F.to_date("read_at").alias("day"), "slide", "lane", _identifier("barcode").alias("barcode"), _identifier("umi").alias("umi")
     )
-    bitmaps = distinct_bitmaps(reads, ["day", "slide", "lane"], {"barcode": ["barcode"], "umi": ["umi"], "barcode_umi": ["barcode", "umi"]})
-    return distinct_counts(bitmaps, ["day", "slide", "lane"])
+
+
+def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_counts(distinct_bitmaps(_reads(spark, sf_dir), PARTS, IDENTIFIERS), PARTS)
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of two runs, lanes 1 and 2 first, all others later, that share a kept dictionary."""
+    reads, path = _reads(spark, sf_dir), f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
+    early = F.coalesce(F.col("lane") <= 2, F.lit(False))
+    runs = [distinct_bitmaps(reads.where(of), PARTS, IDENTIFIERS, dictionary=IdentifierDictionary(spark, list(IDENTIFIERS), path=path)) for of in (early, ~early)]
+    return runs[0].union(runs[1])
+
+
+def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_counts(_two_runs(spark, sf_dir), PARTS)
+
+
+def p5_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers found both in lanes 1 or 2 and in any other lane."""
+    return common_counts(_two_runs(spark, sf_dir), "lane <= 2", "lane > 2 or lane is null")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p2_found": p2_found, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_distinct": p5_distinct,
+        "p2_found": p2_found, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_distinct": p5_distinct, "p5_merged": p5_merged, "p5_common": p5_common,
         "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found,
     }
 
@@ -94,8 +118,16 @@ FREQUENCIES = """
 """
 
 
+READS = """
+    WITH reads AS (
+        SELECT CAST(read_at AS DATE) AS day, slide, lane, nullif(upper(barcode), 'UNKNOWN') AS barcode, nullif(upper(umi), 'UNKNOWN') AS umi
+        FROM barcode_umi
+    )
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    parts = ["day", "slide", "lane"]
+    parts = PARTS
     subsets = [parts, ["day", "slide"], ["day", "lane"], ["slide", "lane"], ["day"], ["slide"], ["lane"], []]
     kinds = {"barcode": "barcode", "umi": "umi", "barcode_umi": "CASE WHEN barcode IS NOT NULL AND umi IS NOT NULL THEN barcode || ' ' || umi END"}
     counted = " UNION ALL ".join(
@@ -105,6 +137,11 @@ def oracle_sql() -> dict[str, str]:
         + (f" GROUP BY {', '.join(s)} HAVING count({of}) > 0" if s else f" HAVING count({of}) > 0")
         for kind, of in kinds.items() for s in subsets
     )
+    common = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, count(*) AS n_common FROM (SELECT {of} FROM reads WHERE lane <= 2 AND {of} IS NOT NULL"
+        f" INTERSECT SELECT {of} FROM reads WHERE (lane > 2 OR lane IS NULL) AND {of} IS NOT NULL) HAVING count(*) > 0"
+        for kind, of in kinds.items()
+    )
     return {
         "p2_found": """
             WITH RECURSIVE listed AS (
@@ -130,12 +167,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p3_frequencies": FREQUENCIES,
         "p3_found": f"SELECT minimizer, mark FROM ({FREQUENCIES}) WHERE mark IS NOT NULL",
-        "p5_distinct": f"""
-            WITH reads AS (
-                SELECT CAST(read_at AS DATE) AS day, slide, lane,
-                    nullif(upper(barcode), 'UNKNOWN') AS barcode, nullif(upper(umi), 'UNKNOWN') AS umi
-                FROM barcode_umi
-            )
-            {counted}
-        """,
+        "p5_distinct": f"{READS} {counted}",
+        "p5_merged": f"{READS} {counted}",
+        "p5_common": f"{READS} {common}",
     }

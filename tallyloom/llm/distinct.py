@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import shared_folder, written
+from tallyloom.session import shared_folder, spread, written
 
 #: Codes of a bucket; a bitmap has one bit for each.
 BUCKET = 32_768
@@ -210,7 +210,7 @@ def distinct_bitmaps(df: DataFrame, dimensions: list[str], identifiers: dict[str
     if taken := {"kind", "cell", "shard", "bucket", "bitmap", "by", "n_distinct", "n", "subset"} & set(dimensions):
         raise ValueError(f"dimensions may not be named {sorted(taken)}")
     dictionary = dictionary or IdentifierDictionary(spark, list(identifiers))
-    df = df.select(*dict.fromkeys([*dimensions, *columns]))
+    df = spread(df.select(*dict.fromkeys([*dimensions, *columns])))
     cells = written(df.select(*dimensions).distinct().withColumn("cell", F.monotonically_increasing_id()))
     same = reduce(lambda x, y: x & y, [df[d].eqNullSafe(cells[d]) for d in dimensions])
     joined = df.join(cells, same).select("cell", *[df[c] for c in columns])  # broadcast or shuffled by the measured size of cells

@@ -12,7 +12,7 @@ from tallyloom.llm.components import connected_components
 from tallyloom.llm.distinct import IdentifierDictionary, common_counts, distinct_bitmaps, distinct_counts
 from tallyloom.llm.frequency import marked, term_frequencies
 from tallyloom.llm.leaks import leaked_spans
-from tallyloom.llm.packing import pack_items, token_counts
+from tallyloom.llm.packing import COST_SHARE, container_loads, pack_items, token_counts
 from tallyloom.llm.subjects import subject_posteriors
 from tallyloom.session import read_table, shared_folder, written
 
@@ -86,6 +86,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("item", "doc_id")
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: mails packed, containers that break a limit, mails split without need, and whether 98 % of the room is used."""
+    packed = written(p7_containers(spark, sf_dir))
+    loads = container_loads(packed)
+    over = loads.agg(
+        F.count_if(F.col("n_tokens") > 2048).alias("n_over_tokens"), F.count_if(F.col("n_places") > 64).alias("n_over_places"),
+        F.count_if((F.col("cost") > COST_SHARE * 2048**2) & (F.col("n_places") > 1)).alias("n_over_cost"),
+        (F.sum("n_tokens") >= 0.98 * 2048 * F.count(F.lit(1))).alias("well_filled"),
+    )
+    mails = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tokens"), F.max("to_token").alias("last"))
+    split = mails.agg(F.count(F.lit(1)).alias("n_mails"), F.count_if((F.col("n") > 1) & (F.col("n_tokens") <= 2048)).alias("n_split_in_vain"), F.count_if(F.col("n_tokens") != F.col("last")).alias("n_incomplete"))
+    return split.join(over)  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
     return spans.select("doc_id", "item_id").distinct()
@@ -100,7 +114,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_distinct": p5_distinct, "p5_merged": p5_merged, "p5_common": p5_common,
-        "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found,
+        "p7_containers": p7_containers, "p7_limits": p7_limits, "p8_found": p8_found, "p9_found": p9_found,
     }
 
 
@@ -167,6 +181,10 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p3_frequencies": FREQUENCIES,
         "p3_found": f"SELECT minimizer, mark FROM ({FREQUENCIES}) WHERE mark IS NOT NULL",
+        "p7_limits": """
+            SELECT count(*) AS n_mails, 0 AS n_split_in_vain, 0 AS n_incomplete, 0 AS n_over_tokens, 0 AS n_over_places, 0 AS n_over_cost, true AS well_filled
+            FROM documents
+        """,
         "p5_distinct": f"{READS} {counted}",
         "p5_merged": f"{READS} {counted}",
         "p5_common": f"{READS} {common}",

@@ -29,7 +29,7 @@ def check(sizes, found, capacity, most_items):
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_whole_items_fit(spark, rng, rule):
     sizes = [rng.choice([0, 1, 100, 100, 100, 2048, 2049, 5000, rng.randrange(1, 2048)]) for _ in range(600)]
-    found = packed(spark, sizes, rule=rule, items_a_shard=200)
+    found = packed(spark, sizes, rule=rule, items_a_block=100)
     load = check(sizes, found, 2048, 64)
     assert sum(load.values()) == sum(sizes)
     assert sum(load.values()) / (2048 * len(load)) > 0.95
@@ -39,12 +39,38 @@ def test_place_limit_and_bad_limits(spark):
     sizes = [1] * 50
     check(sizes, packed(spark, sizes, most_items=4), 2048, 4)
     with pytest.raises(ValueError):
-        packed(spark, sizes, most_cost=10)
+        packed(spark, sizes, most_cost=0)
 
 
-def test_cost_limit_is_kept():
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_cost_limit_binds(spark, rng, rule):
+    """A limit below capacity ** 2 keeps texts apart that would fit by their tokens; only a single text may exceed it."""
+    sizes = [rng.choice([1000, 1000, 900, 1100, 1900, 2048, 30, rng.randrange(1, 2048)]) for _ in range(300)]
+    limit = 2048**2 / 2
+    found = packed(spark, sizes, rule=rule, most_cost=limit)
+    check(sizes, found, 2048, 64)
+    cost, places = Counter(), Counter()
+    for r in found:
+        cost[r["container"]] += r["n_tokens"] ** 2
+        places[r["container"]] += 1
+    assert all(cost[c] <= limit or places[c] == 1 for c in cost)
+    free, shared = Counter(), Counter()
+    for r in packed(spark, sizes, rule=rule, most_cost=2048.0**2):
+        free[r["container"]] += r["n_tokens"] ** 2
+        shared[r["container"]] += 1
+    assert any(free[c] > limit and shared[c] > 1 for c in free)  # what the limit keeps apart
+
+
+def test_several_tasks_pack(spark):
+    counts = spark.range(5000).selectExpr("id as item", "1 + id * 7 % 2048 as n_tokens")
+    result = pack_items(counts, items_a_block=500)
+    assert len({r["container"].split("-")[0] for r in result.collect()}) == 10
+
+
+def test_cost_of_bins():
     bins = best_fit(np.array([10] * 12), 100, 64, 300.0)
     assert max(Counter(bins.tolist()).values()) == 3
+    assert sorted(best_fit(np.array([20, 20, 5]), 100, 64, 300.0).tolist()) == [0, 1, 2]
     with pytest.raises(ValueError):
         best_fit(np.array([101]), 100, 64, 1e9)
 

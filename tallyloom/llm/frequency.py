@@ -10,13 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal pairs of a batch as one row with their number, before they are shuffled."""
-    for batch in batches:
-        if batch.num_rows:
-            counts = pa.Table.from_batches([batch]).group_by(["term", "record"]).aggregate([([], "count_all")])
-            yield from counts.rename_columns(["term", "record", "n"]).to_batches()
+#: Parts into which copies of one pair can be split.
+SALTS = 64
 
 
 def _changes(column: pa.Array, previous: pa.Scalar | None) -> np.ndarray:
@@ -29,24 +24,46 @@ def _changes(column: pa.Array, previous: pa.Scalar | None) -> np.ndarray:
 
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted pairs: occurrences and records of every run of a term. Runs that go on in the next batch give two rows."""
-    last_term = last_record = None
+    """Of sorted pairs: ``term, edge, n_occurrences, n_records`` of every run of a term.
+
+    The first and the last pair of the partition, which may go on in the one before or after, come out by themselves with
+    their record as ``edge`` and no records; all other runs are whole pairs, and have a null there.
+    """
+    held, n_held, is_first = None, 0, True
+
+    def rows(term: pa.Array, edge: pa.Array, occurrences: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([term, edge, pa.array(occurrences), pa.array(records)], ["term", "edge", "n_occurrences", "n_records"])
+
+    def one(pair: pa.RecordBatch, n: int, at_edge: bool) -> pa.RecordBatch:
+        edge = pair.column(1) if at_edge else pa.nulls(1, pair.column(1).type)
+        return rows(pair.column(0), edge, np.array([n]), np.array([int(not at_edge)]))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        term, record, n = batch.columns
-        new_term = _changes(term, last_term)
-        new_pair = new_term | _changes(record, last_record)
-        starts = np.flatnonzero(new_term | (np.arange(batch.num_rows) == 0))
-        yield pa.RecordBatch.from_arrays(
-            [
-                term.take(pa.array(starts)),
-                pa.array(np.add.reduceat(n.to_numpy(), starts)),
-                pa.array(np.add.reduceat(new_pair.astype(np.int64), starts)),
-            ],
-            ["term", "n_occurrences", "n_records"],
-        )
-        last_term, last_record = term[-1], record[-1]
+        before = (held.column(0)[0], held.column(1)[0]) if held is not None else (None, None)
+        new_pair = _changes(batch.column(0), before[0]) | _changes(batch.column(1), before[1])
+        if held is not None and new_pair[0]:
+            yield one(held, n_held, is_first)
+            n_held, is_first = 0, False
+        starts = np.flatnonzero(new_pair | (np.arange(batch.num_rows) == 0))
+        n = np.diff(np.r_[starts, batch.num_rows])
+        n[0] += n_held
+        pairs = batch.take(pa.array(starts))
+        held, n_held = pairs.slice(len(starts) - 1), int(n[-1])
+        done = len(starts) - 1
+        if done and is_first:
+            yield one(pairs.slice(0, 1), int(n[0]), True)
+            pairs, n, done, is_first = pairs.slice(1), n[1:], done - 1, False
+        if done:
+            term = pairs.column(0).slice(0, done)
+            runs = np.flatnonzero(_changes(term, None))
+            yield rows(
+                term.take(pa.array(runs)), pa.nulls(len(runs), pairs.column(1).type),
+                np.add.reduceat(n[:done], runs), np.diff(np.r_[runs, done]),
+            )
+    if held is not None:
+        yield one(held, n_held, True)
 
 
 def term_frequencies(df: DataFrame, term: str, record: str) -> DataFrame:
@@ -55,18 +72,18 @@ def term_frequencies(df: DataFrame, term: str, record: str) -> DataFrame:
     A row with a null term or record is not counted. Repeated rows are further occurrences in the same record;
     empty strings are terms like others; other columns may have any name; an empty table gives no rows.
 
-    Pairs of term and record are combined within their batch, range-partitioned by (term, record) and sorted, so
-    that a term of any size is spread over partitions while a pair stays in one; scanning the runs then gives the
-    occurrences and distinct records of each run, which are added up by term.
+    Pairs of term and record are range-partitioned by (term, record, salt) and sorted by (term, record) within the partitions, so
+    that a term of any size, and even copies of one pair, are spread over them. Scanning the runs then gives the occurrences and
+    distinct records of each; a pair that goes over the edge of a partition is counted once when the runs are added up by term.
     """
     pairs = df.select(F.col(term).alias("term"), F.col(record).alias("record")).where("term is not null and record is not null")
     kinds = dict(pairs.dtypes)
-    ordered = (
-        pairs.mapInArrow(_combined, f"term {kinds['term']}, record {kinds['record']}, n bigint")
-        .repartitionByRange("term", "record").sortWithinPartitions("term", "record")
-    )
-    runs = ordered.mapInArrow(_run_lengths, f"term {kinds['term']}, n_occurrences bigint, n_records bigint")
-    return runs.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+    salted = pairs.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("tinyint"))
+    ordered = salted.repartitionByRange("term", "record", "salt").sortWithinPartitions("term", "record").select("term", "record")
+    runs = ordered.mapInArrow(_run_lengths, f"term {kinds['term']}, edge {kinds['record']}, n_occurrences bigint, n_records bigint")
+    met = F.when(F.col("edge").isNotNull(), 1).otherwise(F.sum("n_records"))
+    once = runs.repartition("term").groupBy("term", "edge").agg(F.sum("n_occurrences").alias("n_occurrences"), met.alias("n_records"))
+    return once.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 
 def marked(frequencies: DataFrame, n_records: int, *, fewest: int = 3, common_share: float = 0.01) -> DataFrame:

@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from tests.helpers import rows
 
 from tallyloom.llm.frequency import marked, term_frequencies
@@ -25,15 +26,21 @@ def test_against_brute_force(spark, rng):
     assert rows(term_frequencies(table(spark, data), "w", "doc")) == brute(data)
 
 
-def test_runs_over_batches(spark, rng):
-    """A hot term, and a hot pair, that go on over many batches and partitions."""
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+def test_runs_over_batches_and_partitions(spark, rng):
+    """A hot term, and copies of a hot pair, that go on over many batches and partitions."""
+    given = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in given}
+    for name, value in given.items():
+        spark.conf.set(name, value)
     try:
-        data = [("hot", rng.randrange(200)) for _ in range(600)] + [("pair", 1)] * 300 + [("b", 2), ("c", 3)]
-        assert rows(term_frequencies(table(spark, data), "w", "doc")) == brute(data)
+        for copies in (0, 300, 3000):
+            data = [("hot", rng.randrange(200)) for _ in range(600)] + [("pair", 1)] * copies + [("b", 2), ("c", 3), ("hot", 7)]
+            assert rows(term_frequencies(table(spark, data), "w", "doc")) == brute(data)
+        ordered = table(spark, data).withColumn("salt", F.monotonically_increasing_id() % 64).repartitionByRange(4, "w", "doc", "salt")
+        assert ordered.where("w = 'pair'").select(F.spark_partition_id()).distinct().count() > 1  # copies of one pair are spread
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def test_numbers_as_terms_and_empty(spark):

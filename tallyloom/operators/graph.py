@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyloom.session import Written
+from tallyloom.session import Written, shared_folder
+
+#: Nodes that are broadcast as hubs at most, and the pairs that a node needs to be one at least.
+MOST_HUBS = 100_000
+LEAST_HUB = 100_000
 
 
 def symmetric_edges(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -14,28 +20,43 @@ def symmetric_edges(rows: DataFrame, a: str, b: str) -> DataFrame:
     return links.union(links.select("b", "a")).distinct()
 
 
-def link_groups(rows: DataFrame, a: str, b: str, *, rounds: int = 200) -> DataFrame:
+def with_lowest(pairs: DataFrame, lowest: DataFrame, n_rows: int) -> DataFrame:
+    """``node, other, lowest`` of pairs (``node, other``) and the ``lowest`` of each node (``node, degree, lowest``).
+
+    Nodes of more than ``n_rows / MOST_HUBS`` pairs are hubs: they are fewer than ``MOST_HUBS``, and broadcast, so that their pairs
+    stay where they are. All others are joined by shuffle. There are none where all pairs are fewer than a hub needs.
+    """
+    if n_rows <= LEAST_HUB:
+        return pairs.join(lowest.select("node", "lowest"), "node").select("node", "other", "lowest")
+    is_hub = F.col("degree") > max(LEAST_HUB, n_rows // MOST_HUBS)
+    hubs = lowest.where(is_hub).select("node", F.col("lowest").alias("hub_lowest"))
+    split = pairs.join(F.broadcast(hubs), "node", "left")
+    at_hubs = split.where("hub_lowest is not null").select("node", "other", F.col("hub_lowest").alias("lowest"))
+    elsewhere = split.where("hub_lowest is null").join(lowest.where(~is_hub).select("node", "lowest"), "node")
+    return at_hubs.union(elsewhere.select("node", "other", "lowest"))
+
+
+def link_groups(rows: DataFrame, a: str, b: str) -> DataFrame:
     """``node, label``: nodes of the links with the smallest node reachable from them, by spreading minimal labels.
 
-    A round gives each node the least label among itself, its neighbours, and the label of its label; it is meant
-    for link tables of short paths such as paralog lists.
+    A round gives each node the least label among itself, its neighbours, and the label of its label; rounds go on until no
+    label changes. It is meant for link tables of short paths such as paralog lists. Nodes of one label meet in the last join; they
+    are its left side, which adaptive execution splits where it is skewed.
     """
     edges = Written(symmetric_edges(rows, a, b))
     state = Written(edges.df.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         labels = state.df.select("node", "label")
         near = edges.df.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         joined = labels.join(near, "node", "left").join(jump, "label", "left")
         least = F.least("label", F.coalesce("near", "label"), F.coalesce("further", "label"))
-        after = Written(joined.select("node", least.alias("label"), (least < F.col("label")).alias("changed")))
-        changed = after.df.where("changed").limit(1).count()
+        after = Written(joined.select("node", least.alias("label"), F.col("label").alias("before")), changed=F.count_if(F.col("label") < F.col("before")))
         state.drop()
         state = after
-        if not changed:
+        if not after.values["changed"]:
             edges.drop()
-            return state.df.drop("changed")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+            return state.df.select("node", "label")
 
 
 def regrouped(counts: DataFrame, groups: DataFrame, *, key: str, value: str) -> DataFrame:
@@ -44,21 +65,24 @@ def regrouped(counts: DataFrame, groups: DataFrame, *, key: str, value: str) ->
     return counts.join(renamed, key, "left").groupBy(F.coalesce("label", key).alias("label")).agg(F.sum(value).alias(value))
 
 
-def reachable(seeds: DataFrame, links: DataFrame, *, node: str, a: str, b: str, most_steps: int = 1000) -> DataFrame:
+def reachable(seeds: DataFrame, links: DataFrame, *, node: str, a: str, b: str) -> DataFrame:
     """``node, step``: what can be reached from the seeds over directed links, with the number of the step it is first met in.
 
-    Frontier by frontier: neighbours of the last frontier that were not met before are the next one.
+    Frontier by frontier: neighbours of the last frontier that were not met before are the next one, until there are none. All that
+    is met lies in one folder, a part of it for each step, so the plan of a step does not grow with their number.
     """
-    edges = links.select(F.col(a).alias("from_node"), F.col(b).alias("node")).where("from_node is not null and node is not null").distinct()
-    frontier = Written(seeds.select(F.col(node).alias("node")).where("node is not null").distinct().withColumn("step", F.lit(0)))
-    met = frontier.df
-    for step in range(1, most_steps + 1):
-        ahead = frontier.df.select(F.col("node").alias("from_node")).join(edges, "from_node").select("node").distinct()
-        frontier = Written(ahead.join(met.select("node"), "node", "left_anti").withColumn("step", F.lit(step)))
-        if frontier.df.limit(1).count() == 0:
+    spark, kind = seeds.sparkSession, dict(seeds.dtypes)[node]
+    folder = f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
+    edges = Written(links.select(F.col(a).alias("from_node"), F.col(b).alias("node")).where("from_node is not null and node is not null").distinct())
+    frontier, step = seeds.select(F.col(node).alias("node")).where("node is not null").distinct(), 0
+    while True:
+        seen = Observation()
+        frontier.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/step={step}")
+        met = spark.read.schema(f"node {kind}, step int").parquet(folder)
+        if not seen.get["n"]:
             return met
-        met = met.union(frontier.df)
-    raise RuntimeError(f"new nodes are still met after {most_steps} steps")
+        ahead = met.where(F.col("step") == step).select(F.col("node").alias("from_node")).join(edges.df, "from_node").select("node").distinct()
+        frontier, step = ahead.join(met.select("node"), "node", "left_anti"), step + 1
 
 
 def priority_frontier(loci: DataFrame, *, reads: str, locus: str) -> DataFrame:

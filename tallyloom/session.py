@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,12 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Written:
-    """A table written to the shared folder: ``df`` reads it, ``drop`` removes its files when it is superseded."""
+    """A table written to the shared folder: ``df`` reads it, ``drop`` removes its files when it is superseded.
 
-    def __init__(self, df: DataFrame) -> None:
+    ``told`` are aggregates of its rows by name, taken while they are written; ``values`` has them.
+    """
+
+    def __init__(self, df: DataFrame, **told: Column) -> None:
         spark = df.sparkSession
         self.path = f"{shared_folder(spark)}/tallyloom-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        seen = Observation()
+        (df.observe(seen, *[c.alias(name) for name, c in told.items()]) if told else df).write.parquet(self.path)
+        self.values = seen.get if told else {}
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

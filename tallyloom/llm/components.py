@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.graph import with_lowest
 from tallyloom.session import Written
 
-#: A node is a hub from this share of all edges on. Degrees add up to twice the edges, so there are at most 2 / HUB_SHARE hubs to broadcast.
-HUB_SHARE = 0.005
 
-
-def connected_components(edges: DataFrame, a: str, b: str, *, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, *, nodes: DataFrame | None = None) -> DataFrame:
     """``node, component`` for every record, component being the smallest record linked directly or indirectly.
 
     ``edges`` links its columns ``a`` and ``b`` (one orderable type) in either direction; links with a null, of a
@@ -19,43 +17,38 @@ def connected_components(edges: DataFrame, a: str, b: str, *, nodes: DataFrame |
     are their own component; without it the records are the non-null values of ``a`` and ``b``. Other columns may
     have any name; an empty table gives no rows.
 
-    Large-star and small-star rewrites alternate until the edges no longer change; each round's edges are written
-    to the shared folder, so nothing is recomputed when an executor is lost. Raises if ``rounds`` do not suffice.
+    Large-star and small-star rewrites alternate until the edges no longer change, however many rounds that takes;
+    when their number and hashes are the same, the edges themselves are compared. Each round's edges are written to the
+    shared folder, so nothing is recomputed when an executor is lost; superseded ones are removed.
     """
     x, y = F.col(a), F.col(b)
     ends = edges.select(x.alias("node")).union(edges.select(y.alias("node")))
     if nodes is not None:
         ends = ends.union(nodes.select(F.col(nodes.columns[0]).alias("node")))
-    links = edges.where(x != y).select(F.greatest(x, y).alias("high"), F.least(x, y).alias("low")).distinct()
-    now = Written(links)
-    before = _signature(now.df)
-    for _ in range(rounds):
-        large = Written(_large_star(now.df, before[0]))
-        n_large = large.df.count()
-        after = Written(_small_star(large.df, n_large))
-        now.drop()
+    now = _written(edges.where(x != y).select(F.greatest(x, y).alias("high"), F.least(x, y).alias("low")).distinct())
+    while True:
+        large = _written(_large_star(now.df, now.values["n"]))
+        after = _written(_small_star(large.df, large.values["n"]))
         large.drop()
-        now, same = after, before
-        before = _signature(now.df)
-        if before == same:
+        same = after.values == now.values and not after.df.join(now.df, ["high", "low"], "left_anti").limit(1).count()
+        now.drop()
+        now = after
+        if same:
             break
-    else:
-        raise RuntimeError(f"the edges still change after {rounds} rounds")
     known = ends.where("node is not null").distinct()
     return known.join(now.df, known["node"] == now.df["high"], "left").select("node", F.coalesce("low", "node").alias("component"))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Number of edges and a sum of their hashes, whatever their order."""
-    total = F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first())
+def _written(edges: DataFrame) -> Written:
+    """Distinct edges, written; their number and a sum of their hashes are taken on the way."""
+    return Written(edges, n=F.count(F.lit(1)), hashes=F.sum(F.xxhash64("high", "low").cast("decimal(38,0)")))
 
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node's higher neighbours are linked to the lowest of the node and its neighbours."""
     both = edges.select(F.col("low").alias("node"), F.col("high").alias("other")).union(edges.select("high", "low"))
     lowest = both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.least(F.min("other"), F.first("node")).alias("lowest"))
-    rewritten = _with_lowest(edges.select(F.col("low").alias("node"), F.col("high").alias("other")), lowest, n_edges)
+    rewritten = with_lowest(edges.select(F.col("low").alias("node"), F.col("high").alias("other")), lowest, n_edges)
     return rewritten.select(F.col("other").alias("high"), F.col("lowest").alias("low")).distinct()
 
 
@@ -63,18 +56,8 @@ def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node and its lower neighbours are linked to the lowest of them."""
     lower = edges.select(F.col("high").alias("node"), F.col("low").alias("other"))
     lowest = lower.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("other").alias("lowest"))
-    moved = _with_lowest(lower, lowest, n_edges).where(F.col("other") != F.col("lowest"))
+    moved = with_lowest(lower, lowest, n_edges).where(F.col("other") != F.col("lowest"))
     return (
         moved.select(F.col("other").alias("high"), F.col("lowest").alias("low"))
         .union(lowest.select(F.col("node").alias("high"), F.col("lowest").alias("low"))).distinct()
     )
-
-
-def _with_lowest(pairs: DataFrame, lowest: DataFrame, n_edges: int) -> DataFrame:
-    """``pairs`` joined with ``lowest`` by node; hubs are few and broadcast, so their rows stay where they are."""
-    is_hub: Column = F.col("degree") > max(1000, int(n_edges * HUB_SHARE))
-    hubs = lowest.where(is_hub).select("node", F.col("lowest").alias("hub_lowest"))
-    split = pairs.join(F.broadcast(hubs), "node", "left")
-    at_hubs = split.where("hub_lowest is not null").select("node", "other", F.col("hub_lowest").alias("lowest"))
-    elsewhere = split.where("hub_lowest is null").join(lowest.where(~is_hub).select("node", "lowest"), "node")
-    return at_hubs.union(elsewhere.select("node", "other", "lowest"))

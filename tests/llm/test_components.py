@@ -44,12 +44,21 @@ def test_long_chain_star_and_isolated(spark):
 
 
 def test_hubs_are_split_off(spark, monkeypatch):
-    monkeypatch.setattr("tallyloom.llm.components.HUB_SHARE", 0.0)
-    monkeypatch.setattr("tallyloom.llm.components.max", lambda *_: 3, raising=False)
+    monkeypatch.setattr("tallyloom.operators.graph.LEAST_HUB", 3)
     edges = [(1, i) for i in range(2, 30)] + [(29, i) for i in range(40, 60)] + [(70, 71)]
     assert rows(connected_components(table(spark, edges), "a", "b")) == brute(edges)
 
 
+def test_a_very_long_chain_and_a_star_of_half_the_edges(spark):
+    """A shuffled chain of 100,000 links, and as many at one node."""
+    n = 100_000
+    chain = spark.range(n).selectExpr("id * 7919 % 1000003 as a", "(id + 1) * 7919 % 1000003 as b")
+    star = spark.range(n).selectExpr("2000000L as a", "2000001 + id as b")
+    found = connected_components(chain.union(star), "a", "b")
+    sizes = found.groupBy("component").count().collect()
+    assert sorted((r["component"], r["count"]) for r in sizes) == [(0, n + 1), (2_000_000, n + 1)]
+
+
 def test_strings_and_empty(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("", "d")], "a string, b string")
     assert rows(connected_components(edges, "a", "b")) == [("", ""), ("a", "a"), ("b", "a"), ("c", "a"), ("d", "")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.distinct import IdentifierDictionary, common_counts, distinct_bitmaps, distinct_counts
 from tallyloom.llm.frequency import marked, term_frequencies
-from tallyloom.llm.leaks import leaked_spans
+from tallyloom.llm.leaks import leaked_spans, without_leaks
 from tallyloom.llm.packing import COST_SHARE, container_loads, pack_items, token_counts
 from tallyloom.llm.subjects import subject_posteriors
 from tallyloom.session import read_table, shared_folder, written
@@ -105,6 +105,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "item_id").distinct()
 
 
+def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text parts of mails with leaks of 20 words or more, or over a twentieth of the part, cut out."""
+    documents = read_table(spark, sf_dir, "documents")
+    return without_leaks(documents, leaked_spans(documents, read_table(spark, sf_dir, "eval_items")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = [r.subject for r in read_table(spark, sf_dir, "subject_areas").where("subject is not null").orderBy("subject").collect()]
     judged = subject_posteriors(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), subjects)
@@ -114,7 +120,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p5_distinct": p5_distinct, "p5_merged": p5_merged, "p5_common": p5_common,
-        "p7_containers": p7_containers, "p7_limits": p7_limits, "p8_found": p8_found, "p9_found": p9_found,
+        "p7_containers": p7_containers, "p7_limits": p7_limits, "p8_found": p8_found, "p8_removed": p8_removed, "p9_found": p9_found,
     }
 
 

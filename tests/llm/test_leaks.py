@@ -42,6 +42,16 @@ def test_automaton_against_brute_force(rng):
             assert Automaton(items, least).spans(sequence) == brute(items, sequence, least)
 
 
+def test_memory_of_an_automaton(rng):
+    """About 40 bytes a state for what is broadcast, items of their own words or not."""
+    import pickle
+
+    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(200)]) for i in range(100)]
+    items += [(100 + i, items[i][1][:150]) for i in range(50)]
+    automaton = Automaton(items, 13)
+    assert len(pickle.dumps(automaton)) < 60 * len(automaton.link)
+
+
 def mail(body, kind="text/plain", encoding="7bit"):
     return f"From: a@b.example\nContent-Type: {kind}; charset=utf-8\nContent-Transfer-Encoding: {encoding}\n\n{body}"
 
@@ -64,6 +74,7 @@ def test_found_in_every_disguise(spark):
     items = spark.createDataFrame([(9, ITEM, "t"), (8, "too short", "t"), (7, None, "t"), (None, ITEM, "t")], "item_id bigint, text string, task string")
     spans = leaked_spans(docs, items)
     assert rows(spans, "doc_id", "item_id") == [(i, 9) for i in (0, 0, 1, 2, 3, 4, 8)]
+    items = items.union(spark.createDataFrame([(6, "unheard " * 20, "t")], items.schema))
     in_blocks = leaked_spans(docs, items, most_words=1)
     assert rows(in_blocks) == rows(spans)
     assert leaked_spans(docs.where("false"), items).count() == 0 and leaked_spans(docs, items.where("false")).count() == 0
@@ -80,6 +91,21 @@ def test_removal(spark):
     assert without_leaks(docs, spans, longest=99, most_coverage=1.0).count() == 0
 
 
+def test_limits_decide(spark):
+    """A short passage in a long part stays; a long one, and a short one that is much of its part, go."""
+    long_item = " ".join(f"w{i}" for i in range(40))
+    filler = "x " * 2000
+    texts = [mail(filler + ITEM), mail(filler + long_item), mail("a b " + ITEM), mail(filler + (ITEM + " y ") * 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, ITEM), (8, long_item)], "item_id bigint, text string")
+    spans = leaked_spans(docs, items)
+    removed = lambda **limits: rows(without_leaks(docs, spans, **limits), "doc_id", "n_removed")
+    assert removed() == [(1, 40), (2, 14), (3, 9 * 14)]
+    assert removed(most_coverage=1.0) == [(1, 40)]
+    assert removed(longest=99) == [(2, 14), (3, 9 * 14)]
+    assert removed(longest=13) == [(0, 14), (1, 40), (2, 14), (3, 9 * 14)]
+
+
 def test_broken_mails_are_read():
     whole = "Content-Type: multipart/mixed; boundary=\"B\"\n\npre\n--B\nContent-Type: multipart/alternative; boundary=Ba\n\n--Ba\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\n\naGVsbG8gd29y"
     assert readable_parts(whole) == ["hello wor"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 HEAD_END = re.compile(r"\r?\n[ \t]*\r?\n")
@@ -128,30 +129,52 @@ def words(text: str) -> list[str]:
 
 QUOTE_MARK = re.compile(r"(?m)^[ \t]*(?:[>|:}][ \t]?)+")
 BLANK_LINE = re.compile(r"\n\s*\n")
-#: How mail programs introduce a quoted or forwarded mail (English, German, Spanish).
+#: How mail programs introduce a quoted or forwarded mail (English, German, Spanish).
 INTRODUCTION = re.compile(
     r"\n(?:On [^\n]{0,160}(?:\n[^\n]{0,120})?\swrote:|Am [^\n]{0,160}(?:\n[^\n]{0,120})?schrieb\s[^\n:]{1,120}:"
     r"|El [^\n]{0,160}(?:\n[^\n]{0,120})?\sescribi[óo]:|[-_]{4,}[^\n]*"
     r"|(?:From|Sent|To|Cc|Subject|Date|Von|Gesendet|An|Betreff|Datum|De|Enviado|Para|Asunto|Fecha):[^\n]*)[ \t]*(?=\n)"
 )
-NAME_AND_DATE = re.compile(r"[^\n.?!]{3,60} - (?:an earlier day|[^\n]{0,40}\d[^\n]{0,40})\Z")
+#: A line of its own that only says whose words follow: a name of two or three words, a dash, and when that was.
+NAME_AND_DATE = re.compile(r"[^\n.?!]{3,60} - [^\n]{0,40}\d[^\n]{0,40}\Z|(?:[A-ZÀ-Ý][\w'-]+ ){2,3}- [^\n.?!]{3,40}\Z")
 SIGNATURE = re.compile(r"\n(?:--|__)[ \t]*\n(?:[^\n]*\S[^\n]*\n)*")
 HTML_SIGNATURE = re.compile(r"""(?s)<(p|div)\b[^>]*class=["']?sig(?:nature)?\b.*?(?:</\1>|\Z)""")
-#: Phrases that only disclaimers and list or reader notices have, in lower case.
+#: Phrases by which a paragraph may be a disclaimer or a notice of a list or mail program (English, German, Spanish), in lower case. It
+#: is one only if the archive bears it out: see ``notice_marks``.
 NOTICES = (
     "confidential:", "meant only for the addressee", "joined a list run by", "before printing this mail", "reader cannot show this",
     "vertraulich.", "ist nur für die empf", "irrläufer", "vor dem drucken", "confidencial.", "solo para su destinatari", "antes de imprimir",
 )
+#: A notice has no more words than this.
+LONGEST_NOTICE = 60
+#: Marks are numbers below this, so there are no more of them.
+MARKS = 1 << 20
 SENTENCE_END = re.compile(r"(?<=[.?!:])\s+")
 
 
-def running_sentences(raw: str | None) -> list[list[str]]:
-    """The words of each sentence of a mail's running text, every paragraph once.
+def notice_marks(low: str) -> tuple[int, int]:
+    """Two marks of a paragraph that may be a notice: of the four words from a notice's phrase on, and of its last four; else (0, 0).
 
-    Running text is the writer's own paragraphs and the quoted ones. Headers, quote introductions, signatures,
-    disclaimers and attachments are left out; of several parts that hold the same paragraph, one counts.
+    Notices come from a pattern, so many senders have the same words there, whatever names and numbers stand between. A paragraph
+    that merely has such a phrase shares them with nobody.
     """
-    found: dict[str, list[list[str]]] = {}
+    for notice in NOTICES:
+        if (at := low.find(notice)) >= 0:
+            own = WORD.findall(low)
+            if len(own) <= LONGEST_NOTICE:
+                of = (WORD.findall(low[at:])[:4], own[-4:])
+                return tuple(1 + zlib.crc32(" ".join(w).encode("utf-8", "replace")) % (MARKS - 1) for w in of)
+    return (0, 0)
+
+
+def running_sentences(raw: str | None) -> list[tuple[list[str], tuple[int, int]]]:
+    """The words of each sentence of a mail's running text, every paragraph once, with the ``notice_marks`` of its paragraph.
+
+    Running text is the writer's own paragraphs and the quoted ones. Headers, quote introductions, signatures and
+    attachments are left out; so are, later, the paragraphs whose marks many senders share. Of several parts that hold the same
+    paragraph, one counts.
+    """
+    found: dict[str, list[tuple[list[str], tuple[int, int]]]] = {}
     for kind, body, _ in parts(raw) if raw else ():
         if kind == "attached":
             continue
@@ -164,8 +187,7 @@ def running_sentences(raw: str | None) -> list[list[str]]:
             if not (paragraph := paragraph.strip()) or NAME_AND_DATE.match(paragraph):
                 continue
             low = (paragraph if paragraph.isascii() else INVISIBLE.sub("", paragraph)).lower()
-            if any(notice in low for notice in NOTICES):
-                continue
-            sentences = [w for s in SENTENCE_END.split(low) if (w := WORD.findall(s))]
-            found.setdefault(" ".join([" ".join(s) for s in sentences]), sentences)
+            marks = notice_marks(low)
+            sentences = [(w, marks) for s in SENTENCE_END.split(low) if (w := WORD.findall(s))]
+            found.setdefault(" ".join([" ".join(s) for s, _ in sentences]), sentences)
     return [s for sentences in found.values() for s in sentences]

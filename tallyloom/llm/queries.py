@@ -113,7 +113,8 @@ def p8_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = [r.subject for r in read_table(spark, sf_dir, "subject_areas").where("subject is not null").orderBy("subject").collect()]
-    judged = subject_posteriors(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels"), subjects)
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "subject_labels")
+    judged = subject_posteriors(documents, labels, subjects, sender="from_addr", lang="lang")
     return judged.where("posterior >= 0.5").select("doc_id", "subject").distinct()
 
 

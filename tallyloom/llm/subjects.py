@@ -12,23 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.mail import running_sentences
-from tallyloom.session import spread, written
+from tallyloom.session import Written, spread, written
 
 #: Words are hashed into so many buckets; this bounds the model, whatever the vocabulary.
 BUCKETS = 1 << 17
-#: Subjects at most; with the buckets they bound the model to about 160 MB (16 MB for ten subjects).
-MOST_SUBJECTS = 100
+#: Numbers of a model (languages times buckets times subjects) at most, 4 bytes each; with more subjects there are fewer buckets.
+MOST_WEIGHTS = 40_000_000
 #: Labelled mails used for training and calibration at most; beyond, those with the smallest hash of their id.
 MOST_LABELLED = 200_000
-#: Frequent words by which the language of a mail is told, each language having its own background.
-FUNCTION_WORDS = (
-    ("the", "of", "and", "to", "is", "on", "with", "for"),
-    ("die", "der", "und", "bei", "zu", "nicht", "für", "wegen"),
-    ("de", "la", "el", "y", "para", "hay", "sobre", "usamos"),
-)
+#: Share of the mails with a language from which a language has a background of its own (so there are at most 100); others join the likeliest.
+LEAST_LANGUAGE = 0.01
+#: Senders whose mails have to share the mark of a notice.
+LEAST_SENDERS = 3
 SMOOTHING = 0.1
 #: Log-odds over the background that a sentence needs to be about a subject, for the first model and after each refinement.
 BARS = (1.0, 1.0, 2.0, 3.0, 3.0)
+#: Once the last bar is reached, the refinement ends when the likelihood of the sentences grows by less than this share; where it falls,
+#: the model before is taken.
+LEAST_GAIN = 0.001
 #: Words of a mail to which its mixture of subjects is drawn to the corpus mean.
 PRIOR_WORDS = 10.0
 
@@ -42,24 +43,26 @@ class Model:
     bar: float
 
     def posteriors(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """(posteriors of each sentence over subjects and none, its words, its mail, shares by mail) of encoded mails."""
+        """(posteriors of each sentence over subjects and none, its words, its mail, shares by mail, log likelihood) of prepared mails."""
         words, lengths, mail = _flat(batch)
         n_mails, n_subjects = batch.num_rows, self.weights.shape[2]
         language = batch.column("language").to_numpy()
         if not len(lengths):
-            return np.zeros((0, n_subjects + 1)), lengths, mail, np.zeros((n_mails, n_subjects))
+            return np.zeros((0, n_subjects + 1)), lengths, mail, np.zeros((n_mails, n_subjects)), 0.0
         starts = np.cumsum(lengths) - lengths
         score = np.add.reduceat(self.weights[np.repeat(language[mail], lengths), words], starts, axis=0)
         score = np.c_[score, np.full(len(score), self.bar)]
-        odds = np.exp(np.maximum(score - score.max(1, keepdims=True), -50))
+        top = score.max(1, keepdims=True)
+        odds = np.exp(np.maximum(score - top, -50))
         posterior = odds / odds.sum(1, keepdims=True)
         for _ in range(3):
             mixture = _by_mail(posterior * lengths[:, None], mail, n_mails) + PRIOR_WORDS * self.mean
             posterior = odds * (mixture / mixture.sum(1, keepdims=True))[mail]
-            posterior /= posterior.sum(1, keepdims=True)
+            weight = posterior.sum(1, keepdims=True)
+            posterior /= weight
         total = np.bincount(mail, weights=lengths, minlength=n_mails)
         share = _by_mail(posterior[:, :-1] * lengths[:, None], mail, n_mails) / np.maximum(total, 1)[:, None]
-        return posterior, lengths, mail, share
+        return posterior, lengths, mail, share, float((np.log(weight) + top - self.bar).sum())
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,34 +76,93 @@ def _by_mail(values: np.ndarray, mail: np.ndarray, n_mails: int) -> np.ndarray:
     return np.stack([np.bincount(mail, weights=column, minlength=n_mails) for column in values.T], 1)
 
 
-def encoded_mails(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, language, lengths, words``: running text as word buckets, sentence by sentence, written to the shared folder.
+def encoded_mails(documents: DataFrame, key: str, text: str, *, sender: str | None, lang: str | None, buckets: int) -> Written:
+    """``key, sender, lang, lengths, notice_a, notice_b, words``: running text as word buckets, sentence by sentence.
 
     Each mail is read whole and parsed once; what follows works on this table only.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        sets = [frozenset(w) for w in FUNCTION_WORDS]
         for batch in batches:
-            languages, lengths, buckets = [], [], []
-            for raw in batch.column(1).to_pylist():
+            lengths, numbers, marks = [], [], ([], [])
+            for raw in batch.column(3).to_pylist():
                 sentences = running_sentences(raw)
-                flat = [w for s in sentences for w in s]
-                hits = [sum(w in s for w in flat) for s in sets]
-                languages.append(hits.index(max(hits)))
-                lengths.append([len(s) for s in sentences])
-                buckets.append([known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS) for w in flat])
+                lengths.append([len(s) for s, _ in sentences])
+                for i, of in enumerate(marks):
+                    of.append([m[i] for _, m in sentences])
+                numbers.append([known[w] if w in known else known.setdefault(w, zlib.crc32(w.encode("utf-8", "replace")) % buckets) for s, _ in sentences for w in s])
             if len(known) > 1_000_000:
                 known.clear()
+            lists = [pa.array(c, pa.list_(pa.int32())) for c in (lengths, *marks, numbers)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["key", "sender", "lang", "lengths", "notice_a", "notice_b", "words"])
+
+    given = spread(documents.select(
+        F.col(key).alias("key"), F.coalesce(*[F.col(c).cast("string") for c in (sender, key) if c]).alias("sender"),
+        (F.lower(F.trim(lang)) if lang else F.lit(None).cast("string")).alias("lang"), F.col(text).cast("string").alias("text"),
+    ))
+    lists = ", ".join(f"{c} array<int>" for c in ("lengths", "notice_a", "notice_b", "words"))
+    return Written(given.mapInArrow(encode, f"key {dict(given.dtypes)['key']}, sender string, lang string, {lists}"))
+
+
+def shared_marks(encoded: DataFrame) -> np.ndarray:
+    """The marks of paragraphs that the mails of ``LEAST_SENDERS`` or more senders have; their number is bounded by ``MARKS``."""
+    marks = encoded.where(F.exists("notice_a", lambda m: m > 0)).select("sender", F.explode(F.array_distinct(F.concat("notice_a", "notice_b"))).alias("mark"))
+    senders = marks.where("mark > 0").distinct().groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    return senders.where(F.col("n") >= LEAST_SENDERS).select("mark").toArrow()["mark"].to_numpy()
+
+
+def language_model(encoded: DataFrame, buckets: int) -> np.ndarray:
+    """Per language and bucket, log P(word), with one language where mails have none: naive Bayes trained on the given languages.
+
+    Given languages may be missing or wrong; a mail's language is the likeliest one by all of its words.
+    """
+    given = encoded.where("lang is not null and lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = given.agg(F.sum("n")).first()[0] or 0
+    names = [r["lang"] for r in given.where(F.col("n") >= max(1.0, LEAST_LANGUAGE * total)).orderBy("lang").collect()]
+    if len(names) < 2:
+        return np.zeros((1, buckets), np.float32)
+    number = F.coalesce(*[F.when(F.col("lang") == name, F.lit(i)) for i, name in enumerate(names)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(names) * buckets, np.int64)
+        for batch in batches:
+            words = batch.column("words")
+            of = np.repeat(batch.column("language").to_numpy(), np.diff(words.offsets.to_numpy()))
+            counts += np.bincount(of.astype(np.int64) * buckets + words.flatten().to_numpy(), minlength=len(counts))
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+    known = encoded.select(number.alias("language"), "words").where("language is not null")
+    summed = known.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # languages times buckets at most
+    counts = np.zeros(len(names) * buckets)
+    counts[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    counts = counts.reshape(len(names), buckets) + SMOOTHING
+    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+
+
+def prepared_mails(encoded: DataFrame, known: DataFrame, languages: np.ndarray, notices: np.ndarray) -> DataFrame:
+    """``key, named, language, lengths, words``: mails without notices, with their language and, where labelled, their subjects."""
+    kind = dict(encoded.dtypes)["key"]
+    shared = encoded.sparkSession.sparkContext.broadcast((languages, notices))
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_p, marks = shared.value
+        for batch in batches:
+            words, lengths, mail = _flat(batch)
+            kept = ~(np.isin(batch.column("notice_a").flatten().to_numpy(), marks) | np.isin(batch.column("notice_b").flatten().to_numpy(), marks))
+            words, of_word = words[np.repeat(kept, lengths)], np.repeat(mail[kept], lengths[kept])
+            score = np.stack([np.bincount(of_word, weights=row[words], minlength=batch.num_rows) for row in log_p], 1)
+            lists = []
+            for values, owner in ((lengths[kept], mail[kept]), (words, of_word)):
+                offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=batch.num_rows))]
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(languages, pa.int32()), pa.array(lengths, pa.list_(pa.int32())), pa.array(buckets, pa.list_(pa.int32()))],
-                ["key", "language", "lengths", "words"],
+                [batch.column("key"), batch.column("named"), pa.array(score.argmax(1), pa.int32()), *lists], ["key", "named", "language", "lengths", "words"]
             )
 
-    given = spread(documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
-    kind = dict(given.dtypes)["key"]
-    return written(given.mapInArrow(encode, f"key {kind}, language int, lengths array<int>, words array<int>"))
+    given = encoded.select("key", "lengths", "notice_a", "notice_b", "words").join(known, "key", "left")
+    return written(given.mapInArrow(prepare, f"key {kind}, named array<int>, language int, lengths array<int>, words array<int>"))
 
 
 def clean_labels(labels: DataFrame, subjects: list[str], *, key: str, subject: str, most: int = MOST_LABELLED) -> DataFrame:
@@ -116,26 +178,29 @@ def clean_labels(labels: DataFrame, subjects: list[str], *, key: str, subject: s
     return grouped.select("key", F.filter("all", lambda n: n >= 0).alias("named")).orderBy(F.xxhash64("key"), "key").limit(most)
 
 
-def _summed(partial: DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected words by (language, bucket, subject), and all words by (language, bucket)."""
+def _summed(partial: DataFrame, shape: tuple[int, int], n_subjects: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected words by (language, bucket, subject), all words by (language, bucket), and the log likelihood."""
     rows = partial.groupBy("language", "bucket").agg(
         F.sum("total").alias("total"), *[F.sum(F.col("by_subject")[i]).alias(f"s{i}") for i in range(n_subjects)]
     ).toArrow()
-    shape = (len(FUNCTION_WORDS), BUCKETS)
     by_subject, total = np.zeros((*shape, n_subjects), np.float32), np.zeros(shape, np.float32)
-    at = rows["language"].to_numpy(), rows["bucket"].to_numpy()
-    total[at] = rows["total"].to_numpy()
+    is_count = rows["language"].to_numpy() >= 0
+    likelihood = float(rows["total"].to_numpy()[~is_count].sum())
+    at = rows["language"].to_numpy()[is_count], rows["bucket"].to_numpy()[is_count]
+    total[at] = rows["total"].to_numpy()[is_count]
     for i in range(n_subjects):
-        by_subject[(*at, i)] = rows[f"s{i}"].to_numpy()
-    return by_subject, total
+        by_subject[(*at, i)] = rows[f"s{i}"].to_numpy()[is_count]
+    return by_subject, total, likelihood
 
 
-def _emitted(by_subject: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emitted(by_subject: np.ndarray, total: np.ndarray, likelihood: float) -> Iterator[pa.RecordBatch]:
+    """The counts that are not 0; the log likelihood as the total of language -1."""
     language, bucket = np.nonzero(total)
+    expected = np.r_[by_subject[language, bucket], np.zeros((1, by_subject.shape[2]))].astype(np.float64)
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(language.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[language, bucket].astype(np.float64)),
-            pa.array(list(by_subject[language, bucket].astype(np.float64)), pa.list_(pa.float64())),
+            pa.array(np.r_[language, -1].astype(np.int32)), pa.array(np.r_[bucket, 0].astype(np.int32)),
+            pa.array(np.r_[total[language, bucket], likelihood].astype(np.float64)), pa.array(list(expected), pa.list_(pa.float64())),
         ],
         ["language", "bucket", "total", "by_subject"],
     )
@@ -144,12 +209,11 @@ def _emitted(by_subject: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBat
 COUNTS = "language int, bucket int, total double, by_subject array<double>"
 
 
-def _expected(mails: DataFrame, n_subjects: int, model=None) -> DataFrame:
+def _expected(mails: DataFrame, shape: tuple[int, int], n_subjects: int, model=None) -> DataFrame:
     """Expected word counts of each partition: from labels (column ``named``), or from the posteriors of ``model``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_subject = np.zeros((len(FUNCTION_WORDS) * BUCKETS, n_subjects), np.float32)
-        total = np.zeros(len(FUNCTION_WORDS) * BUCKETS, np.float32)
+        by_subject, total, likelihood = np.zeros((shape[0] * shape[1], n_subjects), np.float32), np.zeros(shape[0] * shape[1], np.float32), 0.0
         for batch in batches:
             words, lengths, mail = _flat(batch)
             if not len(words):
@@ -160,15 +224,15 @@ def _expected(mails: DataFrame, n_subjects: int, model=None) -> DataFrame:
                     given[row, named] = 1 / max(len(named), 1)
                 of_sentence = given[mail]
             else:
-                of_sentence = model.value.posteriors(batch)[0][:, :-1]
-            slot = np.repeat(batch.column("language").to_numpy()[mail], lengths) * BUCKETS + words
+                judged = model.value.posteriors(batch)
+                of_sentence, likelihood = judged[0][:, :-1], likelihood + judged[4]
+            slot = np.repeat(batch.column("language").to_numpy()[mail], lengths) * shape[1] + words
             used, place = np.unique(slot, return_inverse=True)
             sentence = np.repeat(np.arange(len(lengths)), lengths)
             total[used] += np.bincount(place)
             for i in range(n_subjects):
                 by_subject[used, i] += np.bincount(place, weights=of_sentence[sentence, i])
-        shape = (len(FUNCTION_WORDS), BUCKETS)
-        yield from _emitted(by_subject.reshape(*shape, n_subjects), total.reshape(shape))
+        yield from _emitted(by_subject.reshape(*shape, n_subjects), total.reshape(shape), likelihood)
 
     return mails.mapInArrow(count, COUNTS)
 
@@ -214,41 +278,59 @@ def _logit(share: np.ndarray) -> np.ndarray:
 
 def subject_posteriors(
     documents: DataFrame, labels: DataFrame, subjects: list[str], *, key: str = "doc_id", text: str = "text",
-    subject: str = "subject", quarter: float = 0.25, most_labelled: int = MOST_LABELLED,
+    subject: str = "subject", sender: str | None = None, lang: str | None = None, quarter: float = 0.25, most_labelled: int = MOST_LABELLED,
 ) -> DataFrame:
     """``<key>, subject, share, posterior`` for every mail and subject of which its running text has a share of words.
 
     A sentence's subject is judged by complement naive Bayes: for each word, how much less probable it is where the
     subject is not. The first model is trained on the labelled mails (a bounded sample, ``most_labelled``). Then
-    expectation-maximization over the sentences of all mails, labelled or not: posteriors of sentences, given the
-    mixture of subjects in their mail, give expected word counts, and these the next model. The counts cover all
-    mails and are gathered per (language, word bucket), of which there is a fixed number. At last each subject's
-    posterior that at least a ``quarter`` of a mail is about it is calibrated independently on the labelled mails.
-
-    Null, empty and wordless texts and mails about nothing give no rows; repeated mails give repeated rows; without
-    any label there are no rows.
+    expectation-maximization over the sentences of all mails without a label, until their likelihood grows no more: posteriors of
+    sentences, given the mixture of subjects in their mail, give expected word counts, and these, with those of the labelled
+    mails, the next model. The counts cover all mails and are gathered per (language, word bucket), of which there is a fixed
+    number. At last each subject's posterior that at least a ``quarter`` of a mail is about it is calibrated independently on the
+    labelled mails.
+
+    ``lang`` names a column with the language, which may be null or wrong: it trains a model that tells each mail's language.
+    ``sender`` names one with the sender (the key, where it is null), by which notices are told from running text. Null, empty and
+    wordless texts and mails about nothing give no rows; repeated mails give repeated rows; without any label, or any subject,
+    there are no rows.
     """
-    if not 0 < len(subjects) <= MOST_SUBJECTS:
-        raise ValueError(f"{len(subjects)} subjects; 1 to {MOST_SUBJECTS} are possible")
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[key]
     n = len(subjects)
-    mails = encoded_mails(documents, key, text)
+    nothing = spark.createDataFrame([], f"`{key}` {kind}, subject string, share double, posterior double")
+    if not n:
+        return nothing
+    buckets = min(BUCKETS, 1 << max(8, (MOST_WEIGHTS // (3 * n)).bit_length() - 1))
     known = clean_labels(labels, subjects, key=key, subject=subject, most=most_labelled)
-    # no more rows than MOST_LABELLED, of an id and a few numbers each: about 10 MB
-    labelled = written(mails.join(F.broadcast(known) if most_labelled <= MOST_LABELLED else known, "key"))
-    first_counts, first_total = _summed(_expected(labelled, n), n)
+    encoded = encoded_mails(documents, key, text, sender=sender, lang=lang, buckets=buckets)
+    languages = language_model(encoded.df, buckets)
+    shape = (len(languages), buckets)
+    # no more labels than MOST_LABELLED, of an id and a few numbers each: about 10 MB
+    mails = prepared_mails(encoded.df, F.broadcast(known) if most_labelled <= MOST_LABELLED else known, languages, shared_marks(encoded.df))
+    encoded.drop()
+    labelled, others = mails.where("named is not null"), mails.where("named is null")
+    first_counts, first_total, _ = _summed(_expected(labelled, shape, n), shape, n)
     if not first_counts.any():
-        return spark.createDataFrame([], f"`{key}` {kind}, subject string, share double, posterior double")
+        return nothing
     mean = np.full(n + 1, 1 / (n + 1))
     shared = spark.sparkContext.broadcast(Model(_complement_weights(first_counts, first_total), mean, BARS[0]))
-    for bar in BARS[1:]:
-        by_subject, total = _summed(_expected(mails, n, shared), n)
+    before, reached, step = None, None, 1
+    while True:
+        by_subject, total, likelihood = _summed(_expected(others, shape, n, shared), shape, n)
+        if step >= len(BARS) and not likelihood > reached + LEAST_GAIN * abs(reached):
+            if likelihood < reached:  # the model before was better
+                shared, before = before, shared
+            before.unpersist()
+            break
+        by_subject, total = by_subject + first_counts, total + first_total
         about = by_subject.sum((0, 1)) / max(float(total.sum()), 1.0)
         mean = np.r_[about, max(1 - about.sum(), 0.001)]
-        model = Model(_complement_weights(by_subject + first_counts, total + first_total), mean / mean.sum(), bar)
-        shared.unpersist()
-        shared = spark.sparkContext.broadcast(model)
+        if before is not None:
+            before.unpersist()
+        before, reached = shared, likelihood
+        shared = spark.sparkContext.broadcast(Model(_complement_weights(by_subject, total), mean / mean.sum(), BARS[min(step, len(BARS) - 1)]))
+        step += 1
 
     judged = labelled.mapInArrow(_shares(shared), "key string, share array<double>, named array<int>").toArrow()
     share = np.array(judged["share"].to_pylist(), float).reshape(-1, n)

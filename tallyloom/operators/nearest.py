@@ -12,49 +12,58 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are broadcast at once; more are searched block by block.
 MOST_QUERIES = 20_000
+#: Query vectors that are compared with a batch at once.
+QUERY_BLOCK = 256
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
     """``query, neighbour, distance``: the ``k`` nearest other rows of each query by Euclidean distance, ties by key.
 
-    Each partition of ``vectors`` is compared with a block of queries as matrices and keeps its ``k`` best for each
-    query; these are merged. Rows with a null key or vector, or of another length than the first query, are left out.
+    Each batch of ``vectors`` is compared with ``QUERY_BLOCK`` queries at a time as a matrix product and keeps its ``k`` best for each
+    query, whose distances are then taken exactly; these are merged. Rows with a null key or vector, or of another length than
+    the first query, are left out. Keys have the type they have in ``vectors``.
     """
-    asked = queries.select(key, vector).where(f"`{key}` is not null and `{vector}` is not null").orderBy(key).toLocalIterator()
-    kind, found, block = dict(vectors.dtypes)[key], None, []
-    given = vectors.select(key, vector).where(f"`{key}` is not null and `{vector}` is not null")
+    kind, found, block, length = dict(vectors.dtypes)[key], None, [], None
+    rows = lambda df: df.select(F.col(key).cast(kind).alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key is not null and vector is not null")
+    given, key_type = rows(vectors), vectors.select(key).limit(0).toArrow().schema.field(0).type
 
-    def search(rows: list) -> DataFrame:
-        names = pa.array([r[0] for r in rows])
-        matrix = np.array([r[1] for r in rows if len(r[1]) == len(rows[0][1])], np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    def search(names: list, values: list) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((pa.array(names, key_type), np.array(values, np.float64)))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own_names, own = shared.value
             for batch in batches:
                 batch = batch.take(pc.sort_indices(batch.column(0)))  # so that ties go to the smaller key
-                values = batch.column(1).to_pylist()
-                fits = [i for i, v in enumerate(values) if len(v) == own.shape[1]]
-                if not fits:
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), own.shape[1]))
+                if not batch.num_rows:
                     continue
-                other, ids = np.array([values[i] for i in fits], np.float64), batch.column(0).take(pa.array(fits))
-                distance = np.stack([np.sqrt(((q - other) ** 2).sum(1)) for q in own])
-                best = np.argsort(distance, axis=1, kind="stable")[:, : k + 1]
-                rows_ = np.repeat(np.arange(len(own)), best.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [own_names.take(pa.array(rows_)), ids.take(pa.array(best.ravel())), pa.array(distance[rows_, best.ravel()])],
-                    ["query", "neighbour", "distance"],
-                )
+                other, ids = batch.column(1).flatten().to_numpy().reshape(-1, own.shape[1]), batch.column(0)
+                squares = (other**2).sum(1)
+                for at in range(0, len(own), QUERY_BLOCK):
+                    of = own[at : at + QUERY_BLOCK]
+                    about = (of**2).sum(1)[:, None] + squares - 2 * of @ other.T
+                    bound = np.partition(about, k, axis=1)[:, k] if k < len(other) else about.max(1)
+                    slack = 1e-9 * (1 + (of**2).sum(1) + squares.max())
+                    who, which = np.nonzero(about <= (bound + slack)[:, None])
+                    exact = np.sqrt(((of[who] - other[which]) ** 2).sum(1))
+                    order = np.lexsort((which, exact, who))
+                    who, which, exact = who[order], which[order], exact[order]
+                    best = np.arange(len(who)) - np.searchsorted(who, who) <= k
+                    yield pa.RecordBatch.from_arrays(
+                        [own_names.take(pa.array(at + who[best])), ids.take(pa.array(which[best])), pa.array(exact[best])], ["query", "neighbour", "distance"]
+                    )
 
         return given.mapInArrow(compare, f"query {kind}, neighbour {kind}, distance double")
 
-    for row in asked:
-        block.append(row)
+    for row in rows(queries).orderBy("key").toLocalIterator():
+        length = length or len(row["vector"])
+        if len(row["vector"]) == length:
+            block.append((row["key"], row["vector"]))
         if len(block) == MOST_QUERIES:
-            part, block = search(block), []
+            part, block = search(*zip(*block, strict=True)), []
             found = part if found is None else found.union(part)
     if block:
-        part = search(block)
+        part = search(*zip(*block, strict=True))
         found = part if found is None else found.union(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, distance double")

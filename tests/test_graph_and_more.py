@@ -82,6 +82,15 @@ def test_nearest_against_brute_force(spark, rng):
     assert rows(got) == sorted(want)
 
 
+def test_nearest_keeps_names_and_key_types(spark):
+    """Queries of another length than the first are left out with their names; keys may be of any type."""
+    data = [(1, [0.0, 0.0]), (2, [1.0]), (3, [5.0, 5.0]), (4, [5.0, 6.0])]
+    for kind in ("int", "string"):
+        vectors = spark.createDataFrame(data, "id int, v array<double>").selectExpr(f"cast(id as {kind}) as id", "v")
+        got = nearest(vectors, vectors.where("id <= '3'"), key="id", vector="v", k=1)
+        assert dict(got.dtypes)["query"] == kind and [(int(q), int(n)) for q, n, _ in rows(got)] == [(1, 3), (3, 4)]
+
+
 def test_stream_is_the_batch_result(spark, tmp_path):
     table = spark.range(300).selectExpr("id % 3 as k", "cast(id % 7 as string) as u", "timestamp_seconds(id) as at")
     table.repartition(6).write.parquet(str(tmp_path / "in"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import Written
+
 GTF_COLUMNS = "contig STRING, source STRING, feature STRING, start INT, end INT, score STRING, strand STRING, frame STRING, attrs STRING"
 
 
@@ -14,33 +16,37 @@ def attribute(name: str):
 
 
 def read_gtf(spark: SparkSession, path: str, features: tuple[str, ...] = ("transcript", "exon", "three_prime_utr")) -> DataFrame:
-    """Annotation rows of the given features with ``transcript_id``, ``gene_id`` and ``is_negative``; plain or gzip.
+    """Annotation rows of the given features with ``transcript_id``, ``gene_id``, ``is_negative`` and their order (``row``); plain or gzip.
 
     Comments and rows without a transcript id are left out. Gzip files cannot be split; many files are read side by side.
     """
-    rows = spark.read.csv(path, schema=GTF_COLUMNS, sep="\t", comment="#", quote="")
+    rows = spark.read.csv(path, schema=GTF_COLUMNS, sep="\t", comment="#", quote="").withColumn("row", F.monotonically_increasing_id())
     wanted = rows.where(F.col("feature").isin(*features))
     return wanted.select(
         "contig", "feature", "start", "end", (F.col("strand") == "-").alias("is_negative"),
         attribute("transcript_id").alias("transcript_id"), attribute("gene_id").alias("gene_id"),
-        attribute("gene_biotype").alias("gene_biotype"), attribute("exon_number").try_cast("int").alias("exon_number"),
+        attribute("gene_biotype").alias("gene_biotype"), attribute("exon_number").try_cast("int").alias("exon_number"), "row",
     ).where("transcript_id is not null")
 
 
 def transcripts_of(rows: DataFrame) -> DataFrame:
     """One row for each transcript of ``read_gtf``, its exons sorted by start.
 
-    Exons without a transcript row give none (their position is not known). A transcript annotated more than once has the
-    greatest of its gene ids and its widest span.
+    Exons without a transcript row give none (their position is not known). The last gene id that a row names, and the last
+    transcript row, hold; repeated exons count once.
     """
     exon = F.when(F.col("feature") == "exon", F.struct(F.col("start").alias("exon_start"), F.col("end").alias("exon_end")))
-    width = F.col("end") - F.col("start") + 1
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("feature") == kind, width)), F.lit(0)).cast("int")
-    of_tx = lambda c: F.when(F.col("feature") == "transcript", F.col(c))
-    return rows.groupBy("transcript_id").agg(
-        F.max("gene_id").alias("gene_id"), F.max("contig").alias("chrom"), F.min(of_tx("start")).alias("tx_start"), F.max(of_tx("end")).alias("tx_end"),
-        F.max("is_negative").alias("is_negative"), F.array_sort(F.collect_set(exon)).alias("exons"), of("exon").alias("tx_len"), of("three_prime_utr").alias("utr_len"),
-    ).where("tx_start is not null and size(exons) > 0")
+    utr = F.coalesce(F.sum(F.when(F.col("feature") == "three_prime_utr", F.col("end") - F.col("start") + 1)), F.lit(0)).cast("int")
+    last = lambda c: F.max_by(c, F.when(F.col("feature") == "transcript", F.col("row"))).alias(c)
+    width = F.aggregate("exons", F.lit(0), lambda s, e: s + e["exon_end"] - e["exon_start"] + 1)
+    grouped = rows.groupBy("transcript_id").agg(
+        F.max_by("gene_id", F.when(F.col("gene_id").isNotNull(), F.col("row"))).alias("gene_id"), last("contig"), last("start"), last("end"), last("is_negative"),
+        F.array_sort(F.collect_set(exon)).alias("exons"), utr.alias("utr_len"),
+    ).where("start is not null and size(exons) > 0")
+    return grouped.select(
+        "transcript_id", "gene_id", F.col("contig").alias("chrom"), F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), "is_negative", "exons",
+        width.alias("tx_len"), "utr_len",
+    )
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -117,14 +123,16 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 def paired(second: DataFrame, first: DataFrame) -> tuple[DataFrame, int]:
     """Second reads with barcode and UMI of the first read at the same place of the same file, and the number of first reads left over.
 
-    A second read without a first one raises: the files do not belong together.
+    Both sides are joined once, and written. A second read without a first one raises: the files do not belong together.
     """
     from tallyloom.functions.sequence import barcode_of, umi_of
 
-    bars = first.select("read_id", barcode_of(F.col("seq")).alias("barcode"), umi_of(F.col("seq")).alias("umi"))
-    if second.join(bars, "read_id", "left_anti").limit(1).count():
+    bars = first.select(F.col("read_id").alias("of"), barcode_of(F.col("seq")).alias("barcode"), umi_of(F.col("seq")).alias("umi"))
+    met = second.join(bars, F.col("read_id") == F.col("of"), "full")
+    both = Written(met, unpaired=F.count_if(F.col("of").isNull()), unused=F.count_if(F.col("read_id").isNull()))
+    if both.values["unpaired"]:
         raise ValueError("there are fewer first reads than second reads")
-    return second.join(bars, "read_id"), bars.join(second, "read_id", "left_anti").count()
+    return both.df.where("read_id is not null").drop("of"), both.values["unused"]
 
 
 def read_table_file(spark: SparkSession, path: str, schema: str, *, sep: str = "\t", header: bool = False, skip: int = 0) -> DataFrame:
@@ -173,14 +181,18 @@ def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return indexed.join(named("features.tsv", "feature"), "feature_idx").join(named("barcodes.tsv", "barcode"), "barcode_idx").select("feature", "barcode", "n")
 
 
-#: The labelled counters of a run summary, in the order of the file.
-SUMMARY = ("reads", "assigned_tx", "assigned_gene", "ambiguous", "short", "heuristic_tx", "heuristic_gene", "scored_tx", "scored_gene")
+#: The counters of a run summary and the labels they have in its text, in the order of the file.
+SUMMARY = {
+    "reads": "Total reads processed", "assigned_tx": "Reads assigned to transcripts", "assigned_gene": "Reads assigned to genes",
+    "ambiguous": "Ambiguous reads", "short": "Short reads discarded", "heuristic_tx": "Heuristic phase - transcripts",
+    "heuristic_gene": "Heuristic phase - genes", "scored_tx": "Scoring phase - transcripts", "scored_gene": "Scoring phase - genes",
+}
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """``run`` (the file's folder) and the counters of run summaries, read as whole files of ``name: number`` lines."""
+    """``run`` (the file's folder) and the counters of run summaries, read as whole files of ``label: number`` lines; other lines are passed over."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run"), "value")
-    return text.select("run", *[F.regexp_extract("value", rf"(?m)^{c}\s*:\s*([0-9]+)", 1).try_cast("bigint").alias(c) for c in SUMMARY])
+    return text.select("run", *[F.regexp_extract("value", rf"(?m)^{label}\s*:\s*([0-9]+)", 1).try_cast("bigint").alias(c) for c, label in SUMMARY.items()])
 
 
 def read_metrics(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.counts import dense_ids, matrix_entries
 from tallyloom.operators.index import check_lengths
+from tallyloom.sources.readers import SUMMARY
 
 
 def write_index(paths: DataFrame, postings: DataFrame, folder: str, *, k: int, m: int) -> None:
@@ -49,8 +50,8 @@ def write_assignments(assignments: DataFrame, path: str, *, read: str = "read_id
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """The counters of ``run_summary`` as ``name: number`` lines."""
-    lines = F.array(*[F.format_string("%s: %d", F.lit(c), F.col(c)) for c in summary.columns])
+    """The counters of ``run_summary`` as ``label: number`` lines, as ``read_summaries`` reads them."""
+    lines = F.array(*[F.format_string("%s: %d", F.lit(label), F.col(c)) for c, label in SUMMARY.items()])
     summary.select(F.array_join(lines, "\n").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -46,6 +46,14 @@ def gene_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("transcript_id", "gene_id", "tx_len").join(totals, "gene_id")
 
 
+def lengths_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of exons and UTRs, added up from one row for each feature."""
+    rows = _transcripts(spark, sf_dir)
+    exons = rows.select("transcript_id", "gene_id", F.explode("exons").alias("e")).select("transcript_id", "gene_id", F.lit("exon").alias("feature"), F.col("e.exon_start").alias("start"), F.col("e.exon_end").alias("end"))
+    utrs = rows.where("utr_len > 0").select("transcript_id", "gene_id", F.lit("three_prime_utr").alias("feature"), F.lit(1).alias("start"), F.col("utr_len").alias("end"))
+    return annotation.lengths_by_type(exons.union(utrs))
+
+
 def last_k_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.last_bases(_transcripts(spark, sf_dir), 400).select("transcript_id", "exon_start", "exon_end", "width")
 
@@ -187,7 +195,7 @@ def simulated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        running_width, exon_gaps, gene_widths, last_k_trim, bed_rows, unique_ratios, signatures, longest_transcripts, stranded_periods, overlap_pairs,
+        running_width, exon_gaps, gene_widths, lengths_by_feature, last_k_trim, bed_rows, unique_ratios, signatures, longest_transcripts, stranded_periods, overlap_pairs,
         overlap_counts, uncovered_entries, best_transcripts, coverage_by_cutoff, coverage_by_interval, region_distribution, id_loci,
         depth_histogram, padded_loci, strand_shares, body_coverage, junction_saturation, simulated_counts,
     )
@@ -246,6 +254,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "running_width": f"SELECT transcript_id, exon_start, exon_end, width, number, width_before, tx_width FROM ({EXONS})",
         "exon_gaps": f"SELECT transcript_id, exon_start, lag(exon_end, 1, 0) OVER (PARTITION BY transcript_id ORDER BY exon_start, exon_end) AS previous_end FROM ({EXONS})",
+        "lengths_by_feature": """
+            SELECT transcript_id, gene_id, CAST(coalesce(list_sum(list_transform(exons, lambda e: e.exon_end - e.exon_start + 1)), 0) AS BIGINT) AS tx_len,
+                CAST(greatest(coalesce(utr_len, 0), 0) AS BIGINT) AS utr_len FROM transcripts WHERE len(exons) > 0 OR utr_len > 0
+        """,
         "gene_widths": """
             SELECT transcript_id, gene_id, tx_len, CAST(sum(tx_len) OVER (PARTITION BY gene_id) AS BIGINT) AS gene_len, count(*) OVER (PARTITION BY gene_id) AS n_transcripts
             FROM transcripts WHERE gene_id IS NOT NULL

@@ -66,6 +66,14 @@ def variable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("feature", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised values of the most variable features, in deviations from their mean."""
+    values = written(counts.normalised(umi_counts(spark, sf_dir), cell="barcode"))
+    n_cells = values.select("barcode").distinct().count()
+    top = counts.variable_genes(values, gene="feature", n_cells=n_cells, top=20)
+    return counts.scaled(values, top, gene="feature").select("barcode", "feature", F.round("z", 4).alias("z"))
+
+
 def read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "barcode_umi")
     status = F.when(F.col("barcode").isNull() | F.col("umi").isNull(), "missing").when((F.col("barcode") == "UNKNOWN") | (F.col("umi") == "UNKNOWN"), "short").when(
@@ -139,7 +147,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, read_status,
+        umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, scaled_features, read_status,
         base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, streamed_counts,
     )
     return {f.__name__: f for f in own}
@@ -176,6 +184,14 @@ def oracle_sql() -> dict[str, str]:
                 round(sqrt(greatest((sum(value * value) - sum(value) * sum(value) / any_value(cells)) / (any_value(cells) - 1), 0)), 4) AS sd
             FROM v, c GROUP BY feature
         """,
+        "scaled_features": f"""
+            WITH v AS ({VALUES}), c AS (SELECT count(DISTINCT barcode) AS cells FROM v), g AS (
+                SELECT feature, sum(value) / any_value(cells) AS mean,
+                    sqrt(greatest((sum(value * value) - sum(value) * sum(value) / any_value(cells)) / (any_value(cells) - 1), 0)) AS sd
+                FROM v, c GROUP BY feature ORDER BY sd DESC, feature LIMIT 20
+            )
+            SELECT barcode, feature, round(CASE WHEN sd > 0 THEN least((value - mean) / sd, 10) ELSE 0 END, 4) AS z FROM v JOIN g USING (feature)
+        """,
         "read_status": """
             SELECT status, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM barcode_umi), 4) AS percent FROM (
                 SELECT CASE WHEN barcode IS NULL OR umi IS NULL THEN 'missing' WHEN barcode = 'UNKNOWN' OR umi = 'UNKNOWN' THEN 'short'

@@ -81,6 +81,11 @@ def posting_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.withColumn("mean_size", F.round(F.col("n_postings") / F.col("n_triplets"), 6))
 
 
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the sizes of all postings."""
+    return index.posting_stats(index.postings(triplet_rows(spark, sf_dir), "tx_id"))
+
+
 def minimizers_per_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _minimizers(spark, sf_dir).groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_minimizers"), F.count_distinct("minimizer").alias("n_distinct"))
     lengths = read_table(spark, sf_dir, "transcripts").select(F.col("transcript_id").alias("tx_id"), "tx_len")
@@ -131,7 +136,7 @@ def count_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         seq_encode, minimizer_numbers, reverse_complement, barcode_kmers, barcode_paths, first_read_slices, quality_windows, rolling_positions,
-        triplet_rows, postings_index, posting_stats, minimizers_per_transcript, path_runs, item_tails, item_index, assign_documents, run_counters, count_levels,
+        triplet_rows, postings_index, posting_stats, index_stats, minimizers_per_transcript, path_runs, item_tails, item_index, assign_documents, run_counters, count_levels,
     )
     return {f.__name__: f for f in own}
 
@@ -251,6 +256,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT a, count(*) AS n_postings, count(DISTINCT (b, c)) AS n_triplets, round(count(*) / count(DISTINCT (b, c)), 6) AS mean_size
             FROM (SELECT DISTINCT a, b, c, tx_id FROM ({TRIPLETS})) GROUP BY a
         """,
+        "index_stats": f"""
+            SELECT count(*) AS n_triplets, round(avg(n), 6) AS mean_size, CAST(median(n) AS DOUBLE) AS median_size, round(stddev_pop(n), 6) AS sd_size, max(n) AS max_size
+            FROM (SELECT count(*) AS n FROM (SELECT DISTINCT a, b, c, tx_id FROM ({TRIPLETS})) GROUP BY a, b, c)
+        """,
         "minimizers_per_transcript": f"""
             SELECT tx_id, n_minimizers, n_distinct, tx_len FROM
                 (SELECT tx_id, count(*) AS n_minimizers, count(DISTINCT minimizer) AS n_distinct FROM ({USABLE}) GROUP BY tx_id) LEFT JOIN transcripts ON transcript_id = tx_id

@@ -44,7 +44,27 @@ def unpack(bitmap: bytes) -> np.ndarray:
 
 
 def or_groups(bitmaps: list[bytes], group: np.ndarray, n_groups: int) -> tuple[list[bytes], np.ndarray]:
-    """The OR of the bitmaps of each group (numbered from 0), and how many bits it has."""
+    """The OR of the bitmaps of each group (numbered from 0), and how many bits it has. A lone bitmap of a group stays as it is."""
+    lone = np.bincount(group, minlength=n_groups)[group] == 1
+    if not lone.any():
+        return _or_groups(bitmaps, group, n_groups)
+    ored: list[bytes] = [b""] * n_groups
+    counts = np.zeros(n_groups, np.int64)
+    others = np.flatnonzero(~lone)
+    if len(others):
+        numbers, own = np.unique(group[others], return_inverse=True)
+        found, bits = _or_groups([bitmaps[i] for i in others], own, len(numbers))
+        counts[numbers] = bits
+        for number, bitmap in zip(numbers, found, strict=True):
+            ored[number] = bitmap
+    for i in np.flatnonzero(lone):
+        bitmap = bitmaps[i]
+        ored[group[i]] = bitmap
+        counts[group[i]] = len(bitmap) // 2 if len(bitmap) < BUCKET // 8 else np.bitwise_count(np.frombuffer(bitmap, np.uint8)).sum(dtype=np.int64)
+    return ored, counts
+
+
+def _or_groups(bitmaps: list[bytes], group: np.ndarray, n_groups: int) -> tuple[list[bytes], np.ndarray]:
     size = np.array([len(b) for b in bitmaps], np.int64)
     plain = size == BUCKET // 8
     few = np.frombuffer(b"".join(b for b, p in zip(bitmaps, plain, strict=True) if not p), "<u2")

@@ -76,8 +76,10 @@ def test_or_of_groups(rng):
     sets = [set(rng.sample(range(distinct.BUCKET), rng.choice([0, 1, 3, 1500, 2500, 30_000]))) for _ in range(40)]
     group = np.array([rng.randrange(9) for _ in sets])
     group[:9] = range(9)
-    merged, n = distinct.or_groups([distinct.pack(np.array(sorted(s), np.int64)) for s in sets], group, 9)
-    for g in range(9):
+    group[:4] = range(9, 13)  # groups of a single bitmap
+    group[4:13] = range(9)
+    merged, n = distinct.or_groups([distinct.pack(np.array(sorted(s), np.int64)) for s in sets], group, 13)
+    for g in range(13):
         want = set().union(*[s for s, own in zip(sets, group, strict=True) if own == g])
         assert set(np.flatnonzero(np.unpackbits(distinct.unpack(merged[g])))) == want and n[g] == len(want)
 

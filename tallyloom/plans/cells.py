@@ -104,10 +104,10 @@ def common_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmatched_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Barcodes seen on one of the first two lanes only, and on which; ``lane_differences`` compares all lanes."""
-    of = lambda lane: read_table(spark, sf_dir, "barcode_umi").where(F.col("lane") == lane).select(F.upper("barcode").alias("barcode")).where("barcode is not null").distinct()
-    one, two = of(1), of(2)
-    return one.join(two, "barcode", "left_anti").withColumn("side", F.lit("lane_1")).unionByName(two.join(one, "barcode", "left_anti").withColumn("side", F.lit("lane_2")))
+    """Barcodes that a single lane has and none of the others, and which it is."""
+    seen = read_table(spark, sf_dir, "barcode_umi").where("lane is not null and barcode is not null").groupBy(F.upper("barcode").alias("barcode"))
+    lone = seen.agg(F.min("lane").alias("lane"), F.max("lane").alias("last")).where("lane = last")
+    return lone.select("barcode", F.concat(F.lit("lane_"), F.col("lane").cast("string")).alias("side"))
 
 
 def lane_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,6 @@ COLUMNS = f"SELECT barcode, row_number() OVER (ORDER BY barcode) AS id FROM (SEL
 
 def oracle_sql() -> dict[str, str]:
     bases = ", ".join(f"CAST(sum(CASE WHEN base = '{b}' THEN 1 ELSE 0 END) AS BIGINT) AS {b}" for b in "ACGTN")
-    lane = lambda n: f"SELECT DISTINCT upper(barcode) AS barcode FROM barcode_umi WHERE lane = {n} AND barcode IS NOT NULL"
     return {
         "umi_counts": UMIS,
         "umi_batch_counts": f"SELECT barcode, feature, count(DISTINCT (umi, read_id // 10000)) AS n FROM ({READS}) GROUP BY 1, 2",
@@ -205,8 +204,9 @@ def oracle_sql() -> dict[str, str]:
         """,
         "duplication_levels": f"SELECT level, count(*) AS n_sequences, CAST(sum(level) AS BIGINT) AS n_reads FROM (SELECT count(*) AS level FROM ({READS}) GROUP BY barcode, umi) GROUP BY level",
         "common_starts": f"SELECT substr(umi, 1, 8) AS start, count(*) AS n FROM ({READS}) GROUP BY 1 ORDER BY n DESC, start LIMIT 100",
-        "unmatched_reads": f"""
-            SELECT barcode, 'lane_1' AS side FROM (({lane(1)}) EXCEPT ({lane(2)})) UNION ALL SELECT barcode, 'lane_2' FROM (({lane(2)}) EXCEPT ({lane(1)}))
+        "unmatched_reads": """
+            WITH seen AS (SELECT DISTINCT lane, upper(barcode) AS barcode FROM barcode_umi WHERE lane IS NOT NULL AND barcode IS NOT NULL)
+            SELECT barcode, 'lane_' || lane AS side FROM seen AS s WHERE NOT EXISTS (SELECT 1 FROM seen AS o WHERE o.barcode = s.barcode AND o.lane <> s.lane)
         """,
         "lane_differences": """
             WITH seen AS (SELECT DISTINCT lane, upper(barcode) AS barcode FROM barcode_umi WHERE lane IS NOT NULL AND barcode IS NOT NULL), lanes AS (SELECT DISTINCT lane FROM seen)

@@ -65,30 +65,26 @@ def missing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.read_states(differences, of("counts_copy").withColumn("good", F.col("count") > 0), read="id", good="good")
 
 
-def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first gene by id of each 50,000 bases with the others there, and whether they are paralogs or share a first minimizer.
-
-    This is what its SQL states; all neighbours and all minimizers are compared by ``gene_neighbours``.
-    """
-    tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
-    genes = tx.groupBy("gene_id").agg(F.min("chrom").alias("chrom"), F.min("tx_start").alias("start"))
-    place = F.concat_ws(":", "chrom", F.floor(F.col("start") / 50_000).cast("string"))
-    first = genes.groupBy(place.alias("place")).agg(F.min("gene_id").alias("left"))
-    pairs = genes.withColumn("place", place).join(first, "place").where("gene_id <> left").select("left", F.col("gene_id").alias("right"))
-    paths = read_table(spark, sf_dir, "minimizer_paths").where("pos = 0 and minimizer is not null").select(F.col("tx_id").alias("transcript_id"), F.upper("minimizer").alias("minimizer"))
-    members = paths.join(tx.select("transcript_id", "gene_id"), "transcript_id")
+def _compared_neighbours(spark: SparkSession, sf_dir: str, tx: DataFrame, entity: str) -> DataFrame:
+    """Each gene with the next one of its ``entity``, and whether the two are paralogs or share any minimizer, at all positions."""
+    pairs = neighbours(tx, entity, "tx_start", "gene_id").withColumnRenamed("entity", entity)
+    paths = read_table(spark, sf_dir, "minimizer_paths").where("minimizer is not null").select(F.col("tx_id").alias("transcript_id"), F.upper("minimizer").alias("minimizer"))
+    members = paths.join(tx.select("transcript_id", "gene_id"), "transcript_id").select("gene_id", "minimizer").distinct()
     linked = graph.linked_pairs(pairs, symmetric_links(spark, sf_dir), left="left", right="right")
     return graph.pairs_sharing(linked, members, left="left", right="right", locus="gene_id", member="minimizer")
 
 
 def gene_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each gene with the next one on its chrom, and whether the two are paralogs or share any minimizer."""
+    """Each gene with the next one on its chrom."""
     tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
-    pairs = neighbours(tx, "chrom", "tx_start", "gene_id").withColumnRenamed("entity", "chrom")
-    paths = read_table(spark, sf_dir, "minimizer_paths").where("minimizer is not null").select(F.col("tx_id").alias("transcript_id"), F.upper("minimizer").alias("minimizer"))
-    members = paths.join(tx.select("transcript_id", "gene_id"), "transcript_id").select("gene_id", "minimizer").distinct()
-    linked = graph.linked_pairs(pairs, symmetric_links(spark, sf_dir), left="left", right="right")
-    return graph.pairs_sharing(linked, members, left="left", right="right", locus="gene_id", member="minimizer")
+    return _compared_neighbours(spark, sf_dir, tx, "chrom")
+
+
+def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gene with the next one on the same strand of its chrom (a null strand is the forward one)."""
+    tx = read_table(spark, sf_dir, "transcripts").where("gene_id is not null")
+    strand = F.concat("chrom", F.when(F.col("is_negative"), "-").otherwise("+"))
+    return _compared_neighbours(spark, sf_dir, tx.withColumn("strand", strand), "strand")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -114,6 +110,13 @@ def oracle_sql() -> dict[str, str]:
         SELECT coalesce(g.label, c.id) AS label, CAST(sum(n) AS BIGINT) AS {name}
         FROM (SELECT id, sum("count") AS n FROM ({source}) WHERE id_level = 'gene' AND id IS NOT NULL GROUP BY id) AS c LEFT JOIN grp AS g ON g.node = c.id GROUP BY 1
     """
+    compared = lambda entity, name="chrom": f"""
+        WITH genes AS (SELECT gene_id, {entity} AS {name}, min(tx_start) AS start FROM transcripts WHERE gene_id IS NOT NULL AND chrom IS NOT NULL AND tx_start IS NOT NULL GROUP BY 1, 2),
+        pairs AS (SELECT * FROM (SELECT {name}, gene_id AS "left", lead(gene_id) OVER (PARTITION BY {name} ORDER BY start, gene_id) AS "right" FROM genes) WHERE "right" IS NOT NULL),
+        members AS (SELECT DISTINCT gene_id, upper(minimizer) AS m FROM minimizer_paths JOIN transcripts ON transcript_id = tx_id WHERE minimizer IS NOT NULL AND gene_id IS NOT NULL),
+        sharing AS (SELECT DISTINCT "left", "right" FROM pairs JOIN members AS x ON x.gene_id = "left" JOIN members AS y ON y.gene_id = "right" AND y.m = x.m)
+        SELECT {name}, "left", "right", ("left", "right") IN (SELECT (a, b) FROM ({SYMMETRIC})) AS linked, ("left", "right") IN (SELECT ("left", "right") FROM sharing) AS shares FROM pairs
+    """
     return {
         "paralog_entries": f"SELECT a AS gene, b AS paralog, count(*) AS n FROM ({PAIRS}) GROUP BY 1, 2",
         "symmetric_links": SYMMETRIC,
@@ -130,22 +133,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT e.b, min(m.step) + 1 FROM met AS m JOIN edges AS e ON e.a = m.node WHERE NOT EXISTS (SELECT 1 FROM recurring.met AS old WHERE old.node = e.b) GROUP BY e.b
             ) SELECT node, step FROM met
         """,
-        "linked_neighbours": f"""
-            WITH genes AS (SELECT gene_id, min(chrom) AS chrom, min(tx_start) AS start FROM transcripts WHERE gene_id IS NOT NULL GROUP BY 1),
-            placed AS (SELECT gene_id, chrom || ':' || CAST(floor(start / 50000) AS BIGINT) AS place FROM genes),
-            pairs AS (SELECT f.first AS "left", gene_id AS "right" FROM placed JOIN (SELECT place, min(gene_id) AS first FROM placed GROUP BY 1) AS f USING (place) WHERE gene_id <> f.first),
-            members AS (SELECT DISTINCT gene_id, upper(minimizer) AS m FROM minimizer_paths JOIN transcripts ON transcript_id = tx_id WHERE pos = 0 AND minimizer IS NOT NULL AND gene_id IS NOT NULL)
-            SELECT "left", "right", EXISTS (SELECT 1 FROM ({SYMMETRIC}) WHERE a = "left" AND b = "right") AS linked,
-                EXISTS (SELECT 1 FROM members AS x JOIN members AS y ON x.m = y.m WHERE x.gene_id = "left" AND y.gene_id = "right") AS shares
-            FROM pairs
-        """,
-        "gene_neighbours": f"""
-            WITH genes AS (SELECT gene_id, chrom, min(tx_start) AS start FROM transcripts WHERE gene_id IS NOT NULL AND chrom IS NOT NULL AND tx_start IS NOT NULL GROUP BY 1, 2),
-            pairs AS (SELECT * FROM (SELECT chrom, gene_id AS "left", lead(gene_id) OVER (PARTITION BY chrom ORDER BY start, gene_id) AS "right" FROM genes) WHERE "right" IS NOT NULL),
-            members AS (SELECT DISTINCT gene_id, upper(minimizer) AS m FROM minimizer_paths JOIN transcripts ON transcript_id = tx_id WHERE minimizer IS NOT NULL AND gene_id IS NOT NULL),
-            sharing AS (SELECT DISTINCT "left", "right" FROM pairs JOIN members AS x ON x.gene_id = "left" JOIN members AS y ON y.gene_id = "right" AND y.m = x.m)
-            SELECT chrom, "left", "right", ("left", "right") IN (SELECT (a, b) FROM ({SYMMETRIC})) AS linked, ("left", "right") IN (SELECT ("left", "right") FROM sharing) AS shares FROM pairs
-        """,
+        "gene_neighbours": compared("chrom"),
+        "linked_neighbours": compared("chrom || CASE WHEN is_negative THEN '-' ELSE '+' END", "strand"),
         "missing_states": f"""
             WITH d AS (
                 SELECT DISTINCT id FROM (

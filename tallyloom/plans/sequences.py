@@ -13,7 +13,7 @@ from tallyloom.operators.assign import assign_reads, run_summary
 from tallyloom.operators.counts import counts_by_level, histogram, rolling_sum
 from tallyloom.session import read_table, written
 
-K, M, TAIL, GENES = 16, 8, 400, 7
+K, M, TAIL, GENES = 16, 8, 500, 7
 
 
 def _minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +101,12 @@ def path_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read_table(spark, sf_dir, "eval_items")
-    return items.select(F.col("item_id").alias("tx_id"), (F.col("item_id") % GENES).alias("gene_id"), seq.tail(seq.encode_letters(F.col("text")), TAIL).alias("digits"))
+    return items.select(F.col("item_id").alias("tx_id"), (F.col("item_id") % GENES).alias("gene_id"), seq.encode_letters(F.col("text")).alias("digits"))
 
 
 def item_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir)
+    """The last ``TAIL`` letters of each item; the index has whole items."""
+    return _items(spark, sf_dir).withColumn("digits", seq.tail(F.col("digits"), TAIL))
 
 
 def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +177,9 @@ TRIPLETS = f"""
 """
 BARCODES = "SELECT DISTINCT upper(barcode) AS barcode FROM barcode_umi WHERE length(barcode) = 27"
 TRIPLE = "SELECT {0}, row_number() OVER w AS pos, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c FROM {1} WINDOW w AS (PARTITION BY {0} ORDER BY pos)"
-ITEM_TAILS = f"SELECT item_id AS tx_id, item_id % {GENES} AS gene_id, right({LETTER_SQL}, {TAIL}) AS digits FROM eval_items"
+ITEMS = f"SELECT item_id AS tx_id, item_id % {GENES} AS gene_id, {LETTER_SQL} AS digits FROM eval_items"
 ASSIGNED = f"""
-    WITH items AS ({ITEM_TAILS}),
+    WITH items AS ({ITEMS}),
     item_path AS (WITH {_path_sql('items', 'tx_id', 'digits', K, M)} SELECT * FROM path),
     posted AS (
         SELECT DISTINCT a, b, c, t.tx_id, gene_id FROM ({TRIPLE.format('tx_id', 'item_path')}) AS t JOIN items USING (tx_id) WHERE c IS NOT NULL
@@ -268,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT tx_id, pos, minimizer FROM (SELECT *, lag(minimizer) OVER (PARTITION BY tx_id ORDER BY pos, minimizer) AS before FROM ({STEPS}))
             WHERE before IS NULL OR before <> minimizer
         """,
-        "item_tails": ITEM_TAILS,
+        "item_tails": f"SELECT tx_id, gene_id, right(digits, {TAIL}) AS digits FROM ({ITEMS})",
         "item_index": f"{ASSIGNED} SELECT tx_id, a, b, c, gene_id FROM posted",
         "assign_documents": f"{ASSIGNED} SELECT * FROM assigned",
         "run_counters": " UNION ALL ".join(f"SELECT '{c}' AS counter, count(*) AS n FROM assigned WHERE {p}" for c, p in counters.items()).join([f"{ASSIGNED} ", ""]),

@@ -36,6 +36,21 @@ def test_lane_differences_take_all_lanes(spark, tmp_path):
     assert found == [("A", 1, 4), ("A", 2, 4), ("A", 3, 4), ("B", 4, 1), ("B", 4, 2), ("B", 4, 3), ("C", 3, 1), ("C", 3, 2), ("C", 4, 1), ("C", 4, 2)]
 
 
+def test_linked_neighbours_keep_to_a_strand(spark, tmp_path):
+    genes = [f"MQG00000000{i}" for i in range(1, 5)]
+    given = [(f"T{g}", g, "c", 10 * i, minus) for i, (g, minus) in enumerate(zip(genes, (False, True, None, True), strict=True))]
+    table(spark, tmp_path, "transcripts", given, "transcript_id string, gene_id string, chrom string, tx_start int, is_negative boolean")
+    table(spark, tmp_path, "minimizer_paths", [(f"T{genes[1]}", 4, "AC"), (f"T{genes[3]}", 9, "ac")], "tx_id string, pos int, minimizer string")
+    table(spark, tmp_path, "paralogs", [(genes[0], genes[2])], "gene string, paralogs string")
+    found = entry.queries()["linked_neighbours"](spark, str(tmp_path))
+    assert rows(found, "strand", "left", "right", "linked", "shares") == [("c+", genes[0], genes[2], True, False), ("c-", genes[1], genes[3], False, True)]
+
+
+def test_unmatched_reads_take_all_lanes(spark, tmp_path):
+    table(spark, tmp_path, "barcode_umi", [("A", 1), ("a", 3), ("B", 4), ("b", 4), (None, 1), ("C", None)], "barcode string, lane int")
+    assert rows(entry.queries()["unmatched_reads"](spark, str(tmp_path)), "barcode", "side") == [("B", "lane_4")]
+
+
 def test_coverage_and_ratios_take_all_cutoffs(spark, tmp_path):
     schema = "transcript_id string, gene_id string, chrom string, is_negative boolean, utr_len int, exons array<struct<exon_start: int, exon_end: int>>"
     table(spark, tmp_path, "transcripts", [("t1", "g", "c", False, 0, [(1, 3000)]), ("t2", "g", "c", False, 0, [(5001, 5050)])], schema)
@@ -48,6 +63,6 @@ def test_coverage_and_ratios_take_all_cutoffs(spark, tmp_path):
     assert set(range(100, 1001, 100)) <= {r.cutoff for r in ratios.collect()}
 
 
-@pytest.mark.parametrize("name", ["gene_neighbours", "lane_differences", "coverage_by_cutoff", "coverage_by_interval"])
+@pytest.mark.parametrize("name", ["gene_neighbours", "linked_neighbours", "unmatched_reads", "lane_differences", "coverage_by_cutoff", "coverage_by_interval"])
 def test_query_is_its_sql(spark, name):
     compared(spark, name, entry.queries(), entry.oracle_sql())

@@ -49,24 +49,38 @@ def transcripts_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+#: Lines of a file are placed in slices of so many.
+LINES_A_SLICE = 65_536
+
+
+def read_fasta(spark: SparkSession, path: str, *, slice_lines: int = LINES_A_SLICE) -> DataFrame:
     """``contig, chunk_no, chunk_start, bases``: a genome in the chunks of its lines, 1-based.
 
-    Files are read in lines with their place; contigs may be of any length, as they are never one row. Lines of a file are
-    ordered by the byte offset of their text block and their place in it.
+    Contigs may be of any length: a line's place in its contig is found within slices of ``slice_lines`` lines, and the header,
+    bases and chunks before a slice are carried over one row per slice. Lines before a file's first header are left out.
     """
-    lines = _numbered_lines(spark, path)
-    name = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1))
-    header = lines.withColumn("name", name)
-    heads = header.where("name is not null").select(F.col("file").alias("f"), F.col("line").alias("first"), "name")
-    after = F.lead("first").over(Window.partitionBy("f").orderBy("first"))
-    following = heads.select("f", "first", F.coalesce(after, F.lit(2**62)).alias("next"), F.col("name").alias("contig"))
-    body = header.where("name is null and trim(value) <> ''").select("file", "line", F.trim("value").alias("bases"))
-    sized = body.join(following, (F.col("file") == F.col("f")) & (F.col("line") > F.col("first")) & (F.col("line") < F.col("next")))
-    before = Window.partitionBy("contig").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select(
-        "contig", (F.row_number().over(Window.partitionBy("contig").orderBy("line")) - 1).alias("chunk_no"),
-        (F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0)) + 1).alias("chunk_start"), "bases",
+    is_head = F.col("value").startswith(">")
+    lines = _numbered_lines(spark, path).select(
+        "file", "line", F.floor(F.col("line") / slice_lines).alias("slice"), F.when(is_head, F.regexp_extract("value", r"^>\s*(\S+)", 1)).alias("name"),
+        F.when(~is_head, F.trim("value")).alias("bases"),
+    ).where("name is not null or bases <> ''")
+    within = Window.partitionBy("file", "slice").orderBy("line")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("n_bases", F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0))).withColumn("n_chunks", F.count("bases").over(before))
+    head = F.max(F.when(F.col("name").isNotNull(), F.struct("line", "n_bases", "n_chunks", "name")))
+
+    earlier = Window.partitionBy("file").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
+    of_file = lambda h: F.struct(h["line"].alias("line"), (h["n_bases"] + F.col("bases_before")).alias("n_bases"), (h["n_chunks"] + F.col("chunks_before")).alias("n_chunks"), h["name"].alias("name"))
+    found = lambda h: F.when(F.col(h).isNotNull(), of_file(F.col(h)))
+    slices = placed.groupBy("file", "slice").agg(F.coalesce(F.sum(F.length("bases")), F.lit(0)).alias("bases"), F.count("bases").alias("chunks"), head.alias("last_head"))
+    carried = slices.select("file", "slice", so_far("bases"), so_far("chunks"), "last_head").withColumn("carried_head", F.max(found("last_head")).over(earlier)).drop("last_head")
+
+    own = placed.withColumn("own_head", head.over(within.rowsBetween(Window.unboundedPreceding, 0))).where("bases is not null")
+    headed = own.join(carried, ["file", "slice"]).withColumn("head", F.coalesce(found("own_head"), F.col("carried_head"))).where("head is not null")
+    return headed.select(
+        F.col("head.name").alias("contig"), (F.col("chunks_before") + F.col("n_chunks") - F.col("head.n_chunks")).alias("chunk_no"),
+        (F.col("bases_before") + F.col("n_bases") - F.col("head.n_bases") + 1).alias("chunk_start"), "bases",
     )
 
 

@@ -70,6 +70,15 @@ def test_genome_and_annotation(spark, files):
     assert dict(rows(spliced(exon_rows(transcripts), genome, chunk_width=100))) == {t: sequence_of(t) for t in ("T1", "T2", "T3", "T4", "T5")}
 
 
+def test_contigs_go_over_slices(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("AAAA\n>c1 first\nACGT\nAC\n\nGGG\n>c2\n>c3\nT\nTT\n" + "".join(f"{'ACGT'[i % 4]}\n" for i in range(30)))
+    (tmp_path / "b.fa").write_text(">d\nCC\n>e\n")
+    want = [("c1", 0, 1, "ACGT"), ("c1", 1, 5, "AC"), ("c1", 2, 7, "GGG"), ("c3", 0, 1, "T"), ("c3", 1, 2, "TT"), ("d", 0, 1, "CC")]
+    want += [("c3", 2 + i, 4 + i, "ACGT"[i % 4]) for i in range(30)]
+    for n in (1, 2, 3, 7, 1000):
+        assert rows(readers.read_fasta(spark, str(tmp_path), slice_lines=n)) == sorted(want)
+
+
 def test_last_bases_and_bed(spark, files):
     transcripts = readers.transcripts_of(readers.read_gtf(spark, str(files / "genes.gtf.gz")))
     assert rows(last_bases(transcripts.where("transcript_id = 'T3'"), 250), "exon_start", "exon_end") == [(1001, 1200), (1301, 1350)]

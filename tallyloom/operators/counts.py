@@ -85,6 +85,23 @@ def scaled(values: DataFrame, genes: DataFrame, *, gene: str, most: float = 10.0
     return values.join(genes, gene).withColumn("z", F.least(z, F.lit(most))).drop("mean", "sd")
 
 
+def cell_vectors(values: DataFrame, genes: DataFrame, *, cell: str, gene: str, most: float = 10.0) -> DataFrame:
+    """``<cell>, vector``: each cell's scaled values of the given genes (``variable_genes``) in the order of their names.
+
+    A gene that a cell lacks has the value 0 before scaling. Genes are no more than the ``top`` they were chosen with: they are
+    collected, and a cell's list of values has at most that length.
+    """
+    chosen = sorted(genes.collect(), key=lambda r: r[gene])
+    absent = [min(-r["mean"] / r["sd"], most) if r["sd"] > 0 else 0.0 for r in chosen]
+    places = values.sparkSession.createDataFrame([(r[gene], i) for i, r in enumerate(chosen)], f"`{gene}` {dict(genes.dtypes)[gene]}, __place int")
+    placed = scaled(values, genes, gene=gene, most=most).join(F.broadcast(places), gene)
+    given = placed.groupBy(cell).agg(F.map_from_entries(F.collect_list(F.struct("__place", "z"))).alias("given"))
+    every = values.select(cell).distinct().join(given, cell, "left")
+    base = F.array(*map(F.lit, absent)) if absent else F.array().cast("array<double>")
+    vector = F.transform(base, lambda z, i: F.coalesce(F.try_element_at("given", i), z))
+    return every.select(cell, vector.alias("vector"))
+
+
 def top_by_group(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Rows with the highest value of their group, ties kept. The maxima are aggregated and joined back, so no group is sorted in one task."""
     highest = df.groupBy(*[F.col(g).alias(f"__group_{i}") for i, g in enumerate(group)]).agg(F.max(value).alias("__highest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.sequence import gc_share
@@ -74,6 +74,27 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.scaled(values, top, gene="feature").select("barcode", "feature", F.round("z", 4).alias("z"))
 
 
+def _cell_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered, normalised and scaled cells over the 2000 most variable features."""
+    kept = counts.filtered_cells(umi_counts(spark, sf_dir), cell="barcode", gene="feature", least_genes=2, least_cells=3)
+    values = written(counts.normalised(kept, cell="barcode"))
+    top = counts.variable_genes(values, gene="feature", n_cells=values.select("barcode").distinct().count(), top=2000)
+    return counts.cell_vectors(values, top, cell="barcode", gene="feature")
+
+
+def cell_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest cells, by up to 40 principal components, of each cell whose number in the matrix is divisible by 50."""
+    vectors = written(_cell_vectors(spark, sf_dir))
+    length = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    if not length:
+        return spark.createDataFrame([], "query string, neighbour string, place int, distance double")
+    reduced = written(principal_components(vectors, key="barcode", vector="vector", k=min(40, length)))
+    asked = counts.dense_ids(reduced, "barcode").where("id % 50 = 0").select("barcode")
+    found = nearest(reduced, reduced.join(asked, "barcode", "left_semi"), key="barcode", vector="components", k=10)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    return found.select("query", "neighbour", place.alias("place"), F.round("distance", 4).alias("distance"))
+
+
 def read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "barcode_umi")
     status = F.when(F.col("barcode").isNull() | F.col("umi").isNull(), "missing").when((F.col("barcode") == "UNKNOWN") | (F.col("umi") == "UNKNOWN"), "short").when(
@@ -148,7 +169,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, scaled_features, read_status,
-        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, streamed_counts,
+        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, cell_neighbours, streamed_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -191,6 +212,25 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT barcode, feature, round(CASE WHEN sd > 0 THEN least((value - mean) / sd, 10) ELSE 0 END, 4) AS z FROM v JOIN g USING (feature)
         """,
+        "cell_neighbours": f"""
+            WITH many AS (SELECT * FROM ({UMIS}) WHERE n > 0 AND barcode IN (SELECT barcode FROM ({UMIS}) WHERE n > 0 GROUP BY 1 HAVING count(*) >= 2)),
+            kept AS (SELECT * FROM many WHERE feature IN (SELECT feature FROM many GROUP BY 1 HAVING count(*) >= 3)),
+            v AS (SELECT barcode, feature, ln(1 + n / sum(n) OVER (PARTITION BY barcode) * 10000) AS value FROM kept),
+            cells AS (SELECT barcode, row_number() OVER (ORDER BY barcode) - 1 AS id FROM (SELECT DISTINCT barcode FROM v)),
+            g AS (
+                SELECT feature, sum(value) / (SELECT count(*) FROM cells) AS mean,
+                    sqrt(greatest((sum(value * value) - sum(value) * sum(value) / (SELECT count(*) FROM cells)) / ((SELECT count(*) FROM cells) - 1), 0)) AS sd
+                FROM v GROUP BY feature ORDER BY sd DESC, feature LIMIT 2000
+            ),
+            x AS (
+                SELECT c.barcode, c.id, list(CASE WHEN sd > 0 THEN least((coalesce(value, 0) - mean) / sd, 10) ELSE 0 END ORDER BY g.feature) AS z
+                FROM cells AS c CROSS JOIN g LEFT JOIN v ON v.barcode = c.barcode AND v.feature = g.feature GROUP BY 1, 2
+            )
+            SELECT query, neighbour, CAST(place AS INTEGER) AS place, round(distance, 4) AS distance FROM (
+                SELECT q.barcode AS query, o.barcode AS neighbour, list_distance(q.z, o.z) AS distance, row_number() OVER (PARTITION BY q.barcode ORDER BY round(list_distance(q.z, o.z), 9), o.barcode) AS place
+                FROM x AS q JOIN x AS o ON q.id % 50 = 0 AND o.barcode <> q.barcode
+            ) WHERE place <= 10
+        """,
         "read_status": """
             SELECT status, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM barcode_umi), 4) AS percent FROM (
                 SELECT CASE WHEN barcode IS NULL OR umi IS NULL THEN 'missing' WHEN barcode = 'UNKNOWN' OR umi = 'UNKNOWN' THEN 'short'

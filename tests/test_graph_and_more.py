@@ -131,3 +131,18 @@ def test_components_of_a_line(spark):
     vectors = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(5)] + [(9, None)], "id int, v array<double>")
     got = {r.id: r.components[0] for r in principal_components(vectors, key="id", vector="v", k=1).collect()}
     assert all(abs(got[i] - (i - 2) * 5**0.5) < 1e-9 for i in range(5))
+
+
+def test_cell_vectors_have_absent_genes(spark):
+    table = spark.createDataFrame([("c1", "g1", 1), ("c1", "g2", 3), ("c2", "g1", 5), ("c3", "g1", 2), ("c3", "g2", 2), ("c4", "g3", 1)], "cell string, gene string, n bigint")
+    values = counts.normalised(table, cell="cell")
+    genes = counts.variable_genes(values, gene="gene", n_cells=4, top=2)
+    names = sorted(r.gene for r in genes.collect())
+    found = {r.cell: r.vector for r in counts.cell_vectors(values, genes, cell="cell", gene="gene").collect()}
+    assert len(found) == 4 and {len(v) for v in found.values()} == {2}
+    known = {(r.cell, r.gene): r.value for r in values.collect()}
+    scale = {r.gene: (r["mean"], r.sd) for r in genes.collect()}
+    for cell, vector in found.items():
+        assert all(abs(z - (known.get((cell, g), 0.0) - scale[g][0]) / scale[g][1]) < 1e-9 for g, z in zip(names, vector, strict=True))
+    nothing = counts.cell_vectors(values, genes.limit(0), cell="cell", gene="gene")
+    assert rows(nothing, "cell", "vector")[0] == ("c1", [])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import graph
 from tallyloom.operators.intervals import neighbours
+from tallyloom.operators.walk import discrepancies
 from tallyloom.plans.evaluation import CLEAN, COPY, clean_counts
 from tallyloom.session import read_table
 
@@ -57,6 +58,33 @@ def discrepancy_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(seeds, symmetric_links(spark, sf_dir), node="id", a="a", b="b")
 
 
+def _placements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two alignments of transcripts (their intervals and their exons), the loci of those counted differently in the copies, and genes."""
+    place = F.lower(F.regexp_replace("chrom", r"^\s+|\s+$", "")).alias("contig")
+    a = read_table(spark, sf_dir, "bed_entries").where("chromstart >= 0").select(
+        F.col("name").alias("read"), place, F.col("chromstart").cast("bigint").alias("start"), F.col("chromend").cast("bigint").alias("end"), F.col("strand").isNotNull().alias("good"))
+    tx = read_table(spark, sf_dir, "transcripts")
+    b = tx.select(F.col("transcript_id").alias("read"), place, F.explode("exons").alias("e"), F.col("gene_id").isNotNull().alias("good")).select(
+        "read", "contig", (F.col("e.exon_start") - 1).cast("bigint").alias("start"), F.col("e.exon_end").cast("bigint").alias("end"), "good")
+    of = lambda t: clean_counts(spark, sf_dir, t).where("id_level = 'transcript'").select("run", "id", "count")
+    ids = of("counts").join(of("counts_copy").withColumnRenamed("count", "other"), ["run", "id"]).where("not (count <=> other)").select("id")
+    seeds = graph.resolved_loci(ids, tx, key="id").select(F.lower("chrom").alias("contig"), (F.col("start") - 1).alias("start"), "end")
+    genes = tx.where("gene_id is not null").groupBy(F.col("gene_id").alias("gene"), place).agg((F.min("tx_start") - 1).alias("start"), F.max("tx_end").alias("end"))
+    return a, b, seeds, genes
+
+
+def discrepancy_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci met on a walk over those where intervals and exons place different transcripts, paralogous places left out."""
+    a, b, seeds, genes = _placements(spark, sf_dir)
+    return discrepancies(a, b, seeds, padding=100, genes=genes, links=symmetric_links(spark, sf_dir))[0]
+
+
+def discrepancy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcripts that one side alone places at a locus of ``discrepancy_loci``, and what the other side has of them."""
+    a, b, seeds, genes = _placements(spark, sf_dir)
+    return discrepancies(a, b, seeds, padding=100, genes=genes, links=symmetric_links(spark, sf_dir))[1]
+
+
 def missing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of ids that only one copy counts in a run: whether the other counts them in another run, has them uncounted, or not at all."""
     of = lambda t: clean_counts(spark, sf_dir, t).where("id is not null")
@@ -88,7 +116,7 @@ def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, missing_states, linked_neighbours, gene_neighbours)
+    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, discrepancy_loci, discrepancy_reads, missing_states, linked_neighbours, gene_neighbours)
     return {f.__name__: f for f in own}
 
 

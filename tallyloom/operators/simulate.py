@@ -13,6 +13,11 @@ def sampled(df: DataFrame, key: str, n: int, *, seed: int = 42) -> DataFrame:
     return df.where(f"`{key}` is not null").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def first_reads(reads: DataFrame, n: int, *, read: str = "read_id") -> DataFrame:
+    """The first ``n`` reads of an input, by their number: a top-k by which runs of growing size are made. Null numbers are left out."""
+    return reads.where(f"`{read}` is not null").orderBy(read).limit(n)
+
+
 def simulated_counts(df: DataFrame, key: str, *, low: int, high: int, shape: float = 1.3, share: float = 0.07, seed: int = 42) -> DataFrame:
     """``<key>, count``: gamma-distributed counts from ``low`` on, with a scale of ``share`` of the range, at most ``high``.
 

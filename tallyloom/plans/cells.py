@@ -13,6 +13,7 @@ from tallyloom.operators import counts
 from tallyloom.operators.evaluate import status_shares
 from tallyloom.operators.graph import mapping_differences
 from tallyloom.operators.nearest import nearest, principal_components
+from tallyloom.operators.simulate import first_reads
 from tallyloom.session import read_table, shared_folder, written
 from tallyloom.streaming.running import read_stream, run_batches, running_counts
 
@@ -154,6 +155,12 @@ def vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.posexplode("components").alias("component", "value")).withColumn("value", F.round("value", 4))
 
 
+def first_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules of the first 10 000 reads (a subset operation: reads sent twice count once)."""
+    reads = read_table(spark, sf_dir, "barcode_umi").where("read_id is not null").groupBy("read_id").agg(F.max(F.upper("barcode")).alias("barcode"), F.max(F.upper("umi")).alias("umi"))
+    return first_reads(reads, 10_000).where("barcode is not null").groupBy("barcode").agg(F.count_distinct("umi").alias("n"))
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of each slide and lane, counted over a stream of the table's files."""
     table = read_table(spark, sf_dir, "barcode_umi")
@@ -169,7 +176,7 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         umi_counts, umi_batch_counts, matrix_features, matrix_barcodes, matrix_entries, matrix_sizes, cell_filters, normalised_cells, variable_features, scaled_features, read_status,
-        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, cell_neighbours, streamed_counts,
+        base_content, gc_histogram, duplication_levels, common_starts, unmatched_reads, lane_differences, nearest_vectors, vector_components, cell_neighbours, first_read_counts, streamed_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -259,5 +266,10 @@ def oracle_sql() -> dict[str, str]:
                 FROM embeddings AS q JOIN embeddings AS v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id
             ) WHERE place <= 10
         """,
+        "first_read_counts": """
+            SELECT barcode, count(DISTINCT umi) AS n FROM (
+                SELECT read_id, max(upper(barcode)) AS barcode, max(upper(umi)) AS umi FROM barcode_umi WHERE read_id IS NOT NULL GROUP BY read_id ORDER BY read_id LIMIT 10000
+            ) WHERE barcode IS NOT NULL GROUP BY barcode
+        """,
         "streamed_counts": "SELECT slide, lane, count(*) AS n FROM barcode_umi GROUP BY 1, 2",
     }

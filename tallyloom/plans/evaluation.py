@@ -147,6 +147,20 @@ def report_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.above_quantile(rates, "assignment_rate_tx")
 
 
+def report_heatmap_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``report_heatmap``, for genes."""
+    rates = evaluate.rates(run_metrics(spark, sf_dir)).where("k is not null and m is not null").select("k", "m", "rep", "assignment_rate_gene")
+    return evaluate.above_quantile(rates, "assignment_rate_gene")
+
+
+def report_recall_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, by run, of the records counted differently in the copies: whether the copy names their gene; the median passes over nulls."""
+    differing = _pairs(spark, sf_dir, "left").where("not (n <=> n_copy)")
+    recalls = evaluate.precision_recall(differing, "gene_id", "gene_copy", by=["run"]).select("run", "recall")
+    runs = clean_counts(spark, sf_dir, "counts").where("run is not null").select("run").distinct().join(recalls, "run", "left")
+    return evaluate.above_quantile(runs.select("run", *[c.alias(n) for n, c in evaluate.run_parameters().items()], "recall"), "recall")
+
+
 def report_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.long_means(run_metrics(spark, sf_dir), ["k"], METRICS)
 
@@ -197,7 +211,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         pearson_log2, pearson_left, precision_recall_f1, mean_of_group_recalls, shared_unique_counts, isoform_intersect, only_in_counts, all_ids, union_levels, unpivot_metrics,
         run_parameters, count_histogram, weighted_histogram, count_spread, highest_counts, known_genes, named_counts, complete_rows, parameter_grid, sampled_ids, run_metrics,
-        report_rates, report_heatmap, report_phases, report_distribution, report_best, report_summary, report_sizes, report_times, report_scatter, report_lengths,
+        report_rates, report_heatmap, report_heatmap_genes, report_recall_heatmap, report_phases, report_distribution, report_best, report_summary, report_sizes, report_times, report_scatter, report_lengths,
     )
     return {f.__name__: f for f in own}
 
@@ -304,6 +318,17 @@ def oracle_sql() -> dict[str, str]:
             WITH r AS (SELECT k, m, rep, assignment_rate_tx FROM ({RATES}) WHERE k IS NOT NULL AND m IS NOT NULL)
             SELECT *, assignment_rate_tx > (SELECT median(assignment_rate_tx) FROM r) AS above FROM r
         """,
+        "report_heatmap_genes": f"""
+            WITH r AS (SELECT k, m, rep, assignment_rate_gene FROM ({RATES}) WHERE k IS NOT NULL AND m IS NOT NULL)
+            SELECT *, assignment_rate_gene > (SELECT median(assignment_rate_gene) FROM r) AS above FROM r
+        """,
+        "report_recall_heatmap": f"""
+            WITH d AS (
+                SELECT run, round(count(*) FILTER (gene_id = gene_copy) / count(*), 6) AS recall FROM ({left})
+                WHERE n IS DISTINCT FROM n_copy AND gene_id IS NOT NULL GROUP BY run
+            ), r AS (SELECT run, {PARAMETERS}, recall FROM (SELECT DISTINCT run FROM ({CLEAN}) WHERE run IS NOT NULL) LEFT JOIN d USING (run))
+            SELECT *, recall > (SELECT median(recall) FROM r) AS above FROM r
+        """,
         "report_phases": _long_means("k", "metric", RUN_METRICS),
         "report_distribution": "SELECT *, 'k=' || k || ', m=' || m AS label FROM ("
         + _long_means("k, m", "category", f"SELECT * FROM ({RUN_METRICS}) WHERE run IS NOT NULL AND k IS NOT NULL AND m IS NOT NULL AND rep IS NOT NULL") + ")",

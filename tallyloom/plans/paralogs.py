@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import graph
+from tallyloom.operators import evaluate, graph
 from tallyloom.operators.intervals import neighbours
 from tallyloom.operators.walk import discrepancies
 from tallyloom.plans.evaluation import CLEAN, COPY, clean_counts
@@ -51,6 +51,12 @@ def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "label", "full")
 
 
+def grouped_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of the logarithms of both copies' counts by paralog group, over groups that both have."""
+    both = grouped_counts(spark, sf_dir).where("n is not null and n_copy is not null")
+    return evaluate.correlation(both, "n", "n_copy")
+
+
 def discrepancy_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes reached over paralog links from those whose counts differ between the copies, with the step they are met in."""
     of = lambda t: clean_counts(spark, sf_dir, t).where("id_level = 'gene'").select("run", "id", "count")
@@ -116,7 +122,7 @@ def linked_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, discrepancy_walk, discrepancy_loci, discrepancy_reads, missing_states, linked_neighbours, gene_neighbours)
+    own = (paralog_entries, symmetric_links, paralog_lists, paralog_groups, grouped_counts, grouped_correlation, discrepancy_walk, discrepancy_loci, discrepancy_reads, missing_states, linked_neighbours, gene_neighbours)
     return {f.__name__: f for f in own}
 
 
@@ -145,12 +151,19 @@ def oracle_sql() -> dict[str, str]:
         sharing AS (SELECT DISTINCT "left", "right" FROM pairs JOIN members AS x ON x.gene_id = "left" JOIN members AS y ON y.gene_id = "right" AND y.m = x.m)
         SELECT {name}, "left", "right", ("left", "right") IN (SELECT (a, b) FROM ({SYMMETRIC})) AS linked, ("left", "right") IN (SELECT ("left", "right") FROM sharing) AS shares FROM pairs
     """
+    grouped = f"""
+        WITH grp AS ({GROUPS}) SELECT coalesce(a.label, b.label) AS label, n, n_copy FROM ({by_group(CLEAN, 'n')}) AS a FULL JOIN ({by_group(COPY, 'n_copy')}) AS b ON a.label = b.label
+    """
     return {
+        "grouped_correlation": f"""
+            SELECT round(corr(CASE WHEN n > -1 THEN log2(n + 1) END, CASE WHEN n_copy > -1 THEN log2(n_copy + 1) END), 6) AS r, count(*) AS n,
+                CAST(sum(n) AS BIGINT) AS total_x, CAST(sum(n_copy) AS BIGINT) AS total_y, max(greatest(n, n_copy)) AS highest FROM ({grouped}) AS g WHERE g.n IS NOT NULL AND g.n_copy IS NOT NULL
+        """,
         "paralog_entries": f"SELECT a AS gene, b AS paralog, count(*) AS n FROM ({PAIRS}) GROUP BY 1, 2",
         "symmetric_links": SYMMETRIC,
         "paralog_lists": f"SELECT a AS gene, string_agg(b, ',' ORDER BY b) AS paralogs FROM ({SYMMETRIC}) GROUP BY a",
         "paralog_groups": GROUPS,
-        "grouped_counts": f"WITH grp AS ({GROUPS}) SELECT coalesce(a.label, b.label) AS label, n, n_copy FROM ({by_group(CLEAN, 'n')}) AS a FULL JOIN ({by_group(COPY, 'n_copy')}) AS b ON a.label = b.label",
+        "grouped_counts": grouped,
         "discrepancy_walk": f"""
             WITH RECURSIVE edges AS ({SYMMETRIC}), seeds AS (
                 SELECT DISTINCT a.id FROM (SELECT * FROM ({CLEAN}) WHERE id_level = 'gene') AS a JOIN (SELECT * FROM ({COPY}) WHERE id_level = 'gene') AS b ON a.run = b.run AND a.id = b.id

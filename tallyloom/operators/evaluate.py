@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.session import written
+
 
 def share(part: Column, whole: Column) -> Column:
     """``part / whole``, null where the whole is 0."""
@@ -76,10 +78,32 @@ def rates(metrics: DataFrame) -> DataFrame:
     )
 
 
+def quantiles_of(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``key, <names>``: exact quantiles of a numeric column by group (``key`` is a struct of the group's columns), linearly interpolated.
+
+    Nulls are passed over; null groups are groups. Values are counted and range-partitioned by (group, value), so a group of any size is
+    spread over tasks; its ranks start after the counts of the partitions before, of which a window has one row each.
+    """
+    key = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+    counted = df.where(f"`{value}` is not null").groupBy(key.alias("key"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = written(counted.repartitionByRange("key", "v").withColumn("part", F.spark_partition_id()))
+    along = Window.partitionBy("key")
+    offset = F.coalesce(F.sum("in_part").over(along.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy("key", "part").agg(F.sum("n").alias("in_part")).select("key", "part", offset.alias("offset"), F.sum("in_part").over(along).alias("total"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("before", before).join(offsets, ["key", "part"]).withColumn("rank", F.col("offset") + F.col("before"))
+    holds = lambda r: F.max(F.when((F.col("rank") <= r) & (r < F.col("rank") + F.col("n")), F.col("v")))
+    place = {name: (F.col("total") - 1) * q for name, q in at.items()}
+    ends = [holds(end(p)).alias(f"{name}_{side}") for name, p in place.items() for side, end in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("key").agg(F.max("total").alias("total"), *ends)
+    between = lambda name, p: F.col(f"{name}_low") + (p - F.floor(p)) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
+    return found.select("key", *[between(name, p).alias(name) for name, p in place.items()])
+
+
 def above_quantile(df: DataFrame, value: str, *, quantile: float = 0.5) -> DataFrame:
     """Adds ``above``: whether a value exceeds the exact quantile of the column (nulls passed over). The quantile is one number."""
-    bound = df.agg(F.percentile(value, F.lit(quantile))).first()[0]
-    return df.withColumn("above", F.col(value) > F.lit(bound).cast("double"))
+    found = quantiles_of(df, [], value, {"bound": quantile}).first()
+    return df.withColumn("above", F.col(value) > F.lit(found and found["bound"]).cast("double"))
 
 
 def long_means(df: DataFrame, group: list[str], values: list[str], *, name: str = "metric") -> DataFrame:
@@ -90,7 +114,9 @@ def long_means(df: DataFrame, group: list[str], values: list[str], *, name: str
 
 def spread_of(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """``n, mean, sd, lowest, median, q85, highest`` of a value by group; exact quantiles, linearly interpolated."""
-    return df.where(f"`{value}` is not null").groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("sd"), F.min(value).alias("lowest"),
-        F.round(F.percentile(value, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(value, F.lit(0.85)), 4).alias("q85"), F.max(value).alias("highest"),
+    known = df.where(f"`{value}` is not null")
+    spread = known.groupBy(F.struct(*group).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("sd"), F.min(value).alias("lowest"), F.max(value).alias("highest"),
     )
+    both = spread.join(quantiles_of(known, group, value, {"median": 0.5, "q85": 0.85}), "key")
+    return both.select("key.*", "n", "mean", "sd", "lowest", F.round("median", 4).alias("median"), F.round("q85", 4).alias("q85"), "highest")

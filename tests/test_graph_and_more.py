@@ -146,3 +146,14 @@ def test_cell_vectors_have_absent_genes(spark):
         assert all(abs(z - (known.get((cell, g), 0.0) - scale[g][0]) / scale[g][1]) < 1e-9 for g, z in zip(names, vector, strict=True))
     nothing = counts.cell_vectors(values, genes.limit(0), cell="cell", gene="gene")
     assert rows(nothing, "cell", "vector")[0] == ("c1", [])
+
+
+def test_quantiles_are_exact(spark, rng):
+    given = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)])) for _ in range(500)] + [("lone", 4), ("none", None)]
+    df = spark.createDataFrame(given, "g string, v int")
+    want = df.where("v is not null").groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.85)).alias("q85"))
+    found = evaluate.quantiles_of(df, ["g"], "v", {"median": 0.5, "q85": 0.85}).select("key.g", "median", "q85")
+    plain = lambda frame: [(r[0], round(r[1], 9), round(r[2], 9)) for r in rows(frame)]
+    assert plain(found) == plain(want) and len(plain(want)) == 4
+    assert rows(evaluate.above_quantile(df.limit(0), "v")) == []
+    assert {r.above for r in evaluate.above_quantile(df.where("g = 'none'"), "v").collect()} == {None}

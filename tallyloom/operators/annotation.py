@@ -50,6 +50,19 @@ def at_cutoffs(transcripts: DataFrame, cutoffs: list[int], *, with_utr: bool = T
     return trimmed(exons, F.col("cutoff"), with_utr=with_utr)
 
 
+def at_cutoff_runs(transcripts: DataFrame, cutoffs: list[int], *, with_utr: bool = True) -> DataFrame:
+    """As ``at_cutoffs``, with one row for successive cutoffs at which an exon stays the same: ``first, last`` are their places in ``cutoffs``.
+
+    ``cutoffs`` are above 0 and ascending. Beyond the last cutoff that trims it, an exon is whole at all of them.
+    """
+    before = [-(2**63), *cutoffs]
+    runs = F.array(*[F.struct(F.lit(i).alias("first"), F.lit(k).cast("bigint").alias("k"), F.lit(b).cast("bigint").alias("before")) for i, (k, b) in enumerate(zip(cutoffs, before, strict=False))])
+    needed = F.col("tx_width") - (F.col("utr_len") if with_utr else F.lit(0)) - F.col("width_before")  # bases from which on the exon is whole
+    exons = exon_rows(transcripts).withColumn("needed", needed).select("*", F.explode(runs).alias("run"))
+    kept = exons.where("run.before < needed and run.k > needed - width").select("*", "run.first", F.when(F.col("run.k") < F.col("needed"), F.col("run.first")).otherwise(len(cutoffs) - 1).alias("last"))
+    return trimmed(kept, F.col("run.k"), with_utr=with_utr).drop("needed", "run")
+
+
 def bed_rows(exons: DataFrame) -> DataFrame:
     """Exons as 0-based half-open BED rows."""
     return exons.select(

@@ -11,6 +11,7 @@ from tallyloom.operators import annotation
 from tallyloom.operators.counts import top_by_group
 from tallyloom.operators.graph import resolved_loci
 from tallyloom.operators.intervals import best_overlap, depth_segments, merged_loci, overlap_join, periods_and_gaps
+from tallyloom.operators.layers import touches_by_layer
 from tallyloom.operators.simulate import simulated_counts as simulate
 from tallyloom.session import read_table, written
 
@@ -120,8 +121,11 @@ def _merged_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_by_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each cutoff, how many intervals touch the merged last bases of all transcripts."""
-    hits = overlap_join(_entries(spark, sf_dir), _merged_tails(spark, sf_dir), left_on=("chrom", "chromstart", "chromend"), right_on=("on_chrom", "from_pos", "to_pos"))
-    return hits.groupBy("cutoff", "chrom").agg(F.count(F.lit(1)).alias("n_hits"))
+    tails = annotation.at_cutoff_runs(_transcripts(spark, sf_dir).where("chrom is not null"), CUTOFFS).select(
+        F.lower("chrom").alias("place"), (F.col("exon_start") - 1).alias("s"), F.col("exon_end").alias("e"), "first", "last"
+    )
+    hits = touches_by_layer(tails, _entries(spark, sf_dir), spans_on=("place", "s", "e"), reads_on=("chrom", "chromstart", "chromend"), first="first", last="last", n_layers=len(CUTOFFS))
+    return hits.select(F.element_at(F.array(*map(F.lit, CUTOFFS)), F.col("layer") + 1).alias("cutoff"), F.col("entity").alias("chrom"), "n_hits")
 
 
 def coverage_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
